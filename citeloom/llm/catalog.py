@@ -67,6 +67,27 @@ def p6_copies(spark: SparkSession, d: str) -> DataFrame:
 SQL["p6_copies"] = _P6_KEYS + "select min(id) as record_id, count(*) as copies from f group by d, t"
 
 
+@query
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm import tokens
+
+    return tokens.encode(table(spark, d, "documents"))
+
+
+@query
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm import packing, tokens
+
+    return packing.pack(packing.settled_sizes(tokens.count(table(spark, d, "documents"))))
+
+
+@query
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm import packing
+
+    return packing.fill_report(p9_containers(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
