@@ -88,6 +88,36 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, d))
 
 
+def _cluster_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    return tuple(table(spark, d, t) for t in ("clusters", "cluster_members", "records", "source_priority"))  # type: ignore[return-value]
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm import survivors
+
+    return survivors.wrong_representatives(*_cluster_tables(spark, d))
+
+
+SQL["p5_found"] = """
+with m as (select distinct c.cluster_id, c.canonical_record_id canon, cm.record_id
+           from clusters c join cluster_members cm using (cluster_id) where c.status = 'active'),
+p as (select lower(trim(source_db)) db, min(trust_rank) trust from source_priority group by 1),
+x as (select m.*, row_number() over (partition by m.cluster_id order by
+        case when r.completeness_score is null or isnan(r.completeness_score) then 1 else 0 end, r.completeness_score desc,
+        coalesce(p.trust, 2147483647), r.created_at desc nulls last, r.id) rn, count(*) over (partition by m.cluster_id) n
+      from m join records r on r.id = m.record_id left join p on p.db = lower(trim(r.source_db)))
+select cluster_id, record_id from x where rn = 1 and n > 1 and canon is distinct from record_id
+"""
+
+
+@query
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm import survivors
+
+    return survivors.surviving_values(*_cluster_tables(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
