@@ -118,6 +118,20 @@ def p5_values(spark: SparkSession, d: str) -> DataFrame:
     return survivors.surviving_values(*_cluster_tables(spark, d))
 
 
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm import spans
+
+    return spans.sharing_pairs(table(spark, d, "documents"))
+
+
+@query
+def p10_shared(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm import spans
+
+    return spans.shared_part(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
