@@ -132,6 +132,20 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_part(table(spark, d, "documents"))
 
 
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm import encodings
+
+    return encodings.damaged(table(spark, d, "records"))
+
+
+@query
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm import encodings
+
+    return encodings.restored(table(spark, d, "records"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
