@@ -18,6 +18,19 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_forms(spark, d).select("record_id", "field_name")
+
+
+@query
+def p2_forms(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm import encodings, lookalikes
+
+    records = table(spark, d, "records")
+    return lookalikes.forms(records, encodings.damaged(records))
+
+
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from citeloom.llm import groups
