@@ -101,6 +101,13 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, d))
 
 
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm import names
+
+    return names.variants(table(spark, d, "records"), table(spark, d, "name_authority"))
+
+
 def _cluster_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     return tuple(table(spark, d, t) for t in ("clusters", "cluster_members", "records", "source_priority"))  # type: ignore[return-value]
 
