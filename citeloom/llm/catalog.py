@@ -18,6 +18,21 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm import matching
+
+    return matching.matches(table(spark, d, "records")).select("left_record_id", "right_record_id")
+
+
+@query
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm import matching
+
+    m = matching.matches(table(spark, d, "records"))
+    return m.withColumn("confidence", F.round("confidence", 4))
+
+
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_forms(spark, d).select("record_id", "field_name")
