@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import scalars as S
 from citeloom.operators.graph import connected_components
+from citeloom.session import settle
 
 KINDS = ("pmid", "doi", "pmcid")
 NEVER = ("correction", "chapter")
@@ -57,17 +58,19 @@ def canonical(records: DataFrame, roots: DataFrame, order: tuple[str, ...] = S.S
     return x.groupBy("root").agg(F.min_by("id", key).alias("canonical_record_id"), F.count("*").alias("n"))
 
 
-def numbered(roots: DataFrame) -> DataFrame:
-    """(cluster_id, root): clusters numbered 1..n by their smallest record, counted range by range instead of in one window."""
-    r = roots.select("root").distinct().repartitionByRange("root").withColumn("part", F.spark_partition_id())
-    from citeloom.session import settle
+def numbered_rows(rows: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
+    """``rows`` with 1..n in ``order``, counted range by range instead of in one window."""
+    r = settle(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    sizes = r.groupBy("_part").count()
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_before"))
+    n = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return r.withColumn("_n", n).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
+
 
-    r = settle(r, "roots")
-    sizes = r.groupBy("part").count()
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = sizes.select("part", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("before"))
-    n = F.row_number().over(Window.partitionBy("part").orderBy("root"))
-    return r.withColumn("n", n).join(F.broadcast(offsets), "part").select((F.col("before") + F.col("n")).alias("cluster_id"), "root")
+def numbered(roots: DataFrame) -> DataFrame:
+    """(cluster_id, root): clusters numbered 1..n by their smallest record."""
+    return numbered_rows(roots.select("root").distinct(), [F.col("root")], "cluster_id").select("cluster_id", "root")
 
 
 def rebuilt_clusters(records: DataFrame, roots: DataFrame, stage: str, preferred: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -179,8 +182,6 @@ def merged(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 def fuzzy(records: DataFrame, clusters: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(clusters, members, pairs) after the probable duplicates were joined; needs clusters of the exact stage."""
-    from citeloom.session import settle
-
     if clusters.isEmpty():
         raise RuntimeError("no clusters; find exact duplicates first")
     reps = representatives(clusters, records)
