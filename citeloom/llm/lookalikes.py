@@ -114,6 +114,8 @@ def spelled(text: str, name: bool = False) -> str:
 
 def consistent(text: str, name: bool = False) -> str:
     """One form for all texts that look like ``text``."""
+    if text.isascii():
+        return text
     t = _UNSEEN.sub("", text)
     t = _SPACES.sub(" ", t)
     t = _GUISE.sub(lambda m: unicodedata.normalize("NFKC", m.group()), t)

@@ -60,6 +60,8 @@ _DIGRAPHS = str.maketrans({"ö": "oe", "ü": "ue", "ä": "ae", "å": "aa", "ø":
 
 def folded(text: str) -> str:
     """Lower case without marks."""
+    if text.isascii():
+        return text.lower()
     t = unicodedata.normalize("NFD", text.lower().translate(_SPECIAL))
     return "".join(c for c in t if not unicodedata.combining(c))
 
