@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from itertools import permutations
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,11 @@ SHORT = {
 _SHORT = {k: set(v.split()) for k, v in SHORT.items()}
 _HONOURS = {"prof", "professor", "dr", "mr", "mrs", "ms", "miss", "sir", "phd", "md", "msc", "ba", "ma", "mph", "jr", "sr", "rn", "frcp"}
 _FILLERS = {"of", "the", "and", "for", "in", "on", "online", "print", "official", "organ", "electronic", "internet", "ed", "a"}
-_SPECIAL = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "ı": "i", "đ": "d", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d"})
+# Words for the kind of a journal; the other words of a title tell which one it is.
+_KINDS = set("journal annals archives archive bulletin proceedings transactions yearbook review reviews acta letters international american european british".split())
+_SPECIAL = {"ø": "o", "ł": "l", "ß": "ss", "ı": "i", "đ": "d", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d"}
+_SPECIALS = re.compile(f"[{''.join(_SPECIAL)}]")
+_MARKS = regex.compile(r"\p{Mn}+")
 _DIGRAPHS = str.maketrans({"ö": "oe", "ü": "ue", "ä": "ae", "å": "aa", "ø": "oe"})
 
 
@@ -62,8 +67,7 @@ def folded(text: str) -> str:
     """Lower case without marks."""
     if text.isascii():
         return text.lower()
-    t = unicodedata.normalize("NFD", text.lower().translate(_SPECIAL))
-    return "".join(c for c in t if not unicodedata.combining(c))
+    return _MARKS.sub("", unicodedata.normalize("NFD", _SPECIALS.sub(lambda m: _SPECIAL[m.group()], text.lower())))
 
 
 def letters(text: str) -> str:
@@ -195,16 +199,10 @@ class Titles:
             self.words[i] = w
             self.whole.add(self._joined(name), i)
             for x in w:
-                if len(x) >= 5:
+                if len(x) >= 4 and x not in _KINDS:
                     self.word.add(x, i)
                     for n in range(3, len(x)):
                         self.cut.setdefault(x[:n], set()).add(i)
-        # words in many entries (types and subjects) do not lead to an entry; the rarest word of an entry does
-        count: dict[str, int] = {}
-        for w in self.words.values():
-            for x in set(w):
-                count[x] = count.get(x, 0) + 1
-        self.key = {i: min(w, key=lambda x: (count[x], -len(x))) if w else "" for i, w in self.words.items()}
 
     @staticmethod
     def _words(name: str) -> list[str]:
@@ -231,7 +229,7 @@ class Titles:
         for p in permutations(range(len(want))) if len(want) <= 6 else [tuple(range(len(want)))]:
             total = 0
             for i, j in enumerate(p):
-                if cost[i][j] > 1 or (len(typed[j]) < 3 and want[i] == self.key[entry]):
+                if cost[i][j] > 1 or (len(typed[j]) < 3 and want[i] not in _KINDS):
                     break
                 total += cost[i][j]
             else:
@@ -247,9 +245,7 @@ class Titles:
         if not best:
             typed = self._words(text)
             for w in typed:
-                heads = {e for (word, e), _ in self.word.near(w).items() if word == self.key[e]} if len(w) >= 4 else set()
-                heads |= {e for e in self.cut.get(w, ()) if self.key[e].startswith(w)}
-                for e in heads:
+                for e in {e for _, e in self.word.near(w)} | self.cut.get(w, set()) if len(w) >= 3 else ():
                     n = self._aligned(e, typed)
                     if n is not None and (e not in best or n < best[e][0]):
                         best[e] = (n, "".join(sorted(typed)), self._joined(self.full[e]))
