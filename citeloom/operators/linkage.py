@@ -87,15 +87,20 @@ def representatives(clusters: DataFrame, records: DataFrame) -> DataFrame:
     return c.join(records, "id")
 
 
-def block_keys(reps: DataFrame) -> DataFrame:
-    """(id, cluster_id, key): the blocks of each representative; rows without a year can't pass any rule and are left out."""
+def _block_array() -> Column:
+    """The blocks of a record: title and year, first author and title, journal, volume and page."""
     t, fa, j = (F.coalesce(c, F.lit("")) for c in ("title_norm", "first_author_norm", "journal_norm"))
     keys = F.array(
         F.when(t != "", F.concat_ws(":", F.lit("ty"), F.col("year").cast("string"), F.left(t, F.lit(40)))),
         F.when((t != "") & (fa != ""), F.concat_ws(":", F.lit("at"), fa, F.left(t, F.lit(28)))),
         F.when((j != "") & ~S.blank(F.col("volume")) & ~S.blank(F.col("start_page")), F.concat_ws(":", F.lit("jvp"), j, "volume", "start_page")),
     )
-    return reps.filter("year is not null").select("id", "cluster_id", F.explode(F.array_compact(keys)).alias("key"))
+    return F.array_compact(keys)
+
+
+def block_keys(reps: DataFrame) -> DataFrame:
+    """(id, cluster_id, key): the blocks of each representative; rows without a year can't pass any rule and are left out."""
+    return reps.filter("year is not null").select("id", "cluster_id", F.explode(_block_array()).alias("key"))
 
 
 PAIR_COLUMNS = ("title_norm", "author_surnames", "first_author_norm", "journal_norm", "page_key", "year", "doi", "pmid", "record_type_category")
@@ -162,9 +167,25 @@ def evaluated(x: DataFrame) -> DataFrame:
     return x.withColumn("composite_score", total)
 
 
+def kept_pairs(reps: DataFrame) -> DataFrame:
+    """(left_id, right_id): the pairs of ``candidate_pairs`` that a rule could keep.
+
+    Such a pair is at most a year apart and shares its first author, a surname, the journal or the page.  These go into the
+    block key, so that a block of one much used title falls into small parts and its other pairs are never made.
+    """
+    none = F.array().cast("array<string>")
+    part = lambda tag, c: F.when(~S.blank(F.col(c)), F.concat(F.lit(tag), F.col(c)))
+    shared = F.concat(F.array(part("f:", "first_author_norm"), part("j:", "journal_norm"), part("p:", "page_key")), F.transform(F.coalesce("author_surnames", none), lambda n: F.concat(F.lit("s:"), n)))
+    x = reps.filter("year is not null and year <> 0").select("id", "cluster_id", "year", F.array_distinct(F.array_compact(shared)).alias("shared"), "title_norm", "first_author_norm", "journal_norm", "volume", "start_page")
+    k = x.select("id", "year", "shared", F.explode(_block_array()).alias("key"))
+    near = F.when(F.col("key").startswith("ty:"), F.array("year")).otherwise(F.array(F.col("year"), F.col("year") + 1))
+    k = k.withColumn("y", F.explode(near)).withColumn("s", F.explode("shared")).select("id", "key", "y", "s")
+    return k.alias("l").join(k.alias("r"), ["key", "y", "s"]).filter("l.id < r.id").select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")).distinct()
+
+
 def scored_pairs(reps: DataFrame) -> DataFrame:
     """The pairs of representatives that a rule keeps."""
-    return evaluated(possible(flags(with_sides(candidate_pairs(reps), reps)))).filter("recommendation is not null")
+    return evaluated(possible(flags(with_sides(kept_pairs(reps), reps)))).filter("recommendation is not null")
 
 
 def merged(members: DataFrame, edges: DataFrame) -> DataFrame:
