@@ -21,7 +21,8 @@ CSV_COLUMNS = ("cluster_id", "canonical_record_id", "source_db", "record_type",
 def consolidated(clusters: DataFrame, members: DataFrame, records: DataFrame, unite_keywords: bool = False) -> DataFrame:
     """One row a cluster, from one join and one aggregation.
 
-    The member lists are sorted inside the aggregation; everything else is reduced where the rows are.
+    The member lists, which are part of the result and as long as their cluster, are sorted inside the aggregation; everything
+    else is reduced where the rows are.
     """
     c = clusters.filter("status = 'active'").select("cluster_id", "canonical_record_id")
     m = members.select("cluster_id", F.col("record_id").alias("id")).distinct()
