@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 
 from citeloom.llm import matching as M
@@ -76,3 +77,22 @@ def test_survivors(spark):
     got = {(r["cluster_id"], r["field"]): r["value"] for r in survivors.surviving_values(*tables).collect()}
     assert got[5, "title"] == "Up" and got[2, "title"] == "A title" and (1, "abstract") not in got and (3, "title") not in got
     assert survivors.wrong_representatives(tables[0].limit(0), *tables[1:]).count() == 0
+
+
+def test_longer_keys_miss_no_more_pairs():
+    for v, n in M.TABLES.items():
+        most = (1 - 0.75**6) ** n
+        for bits in range(4, 27):
+            assert M.tables(bits)[v] >= n and (1 - 0.75**bits) ** M.tables(bits)[v] <= most + 1e-9
+    assert sum(M.tables(26).values()) <= 1 << 13
+    # noisy copies of random vectors meet in some table as often with long keys as with short ones
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, M.DIM)).astype(np.float32)
+    y = x + 0.73 * rng.standard_normal(x.shape).astype(np.float32)
+    met = []
+    for bits in (6, 10):
+        hyper = M.planes(bits)
+        a, b = (M.block_rows(z, z, bits, hyper)[0] for z in (x, y))
+        assert len({int(k) & 0x1FFF for k in a[0]}) == a.shape[1] == sum(M.tables(bits).values())
+        met.append((a == b)[:, : M.tables(bits)["title"]].any(1).mean())
+    assert met[0] > 0.95 and met[1] > met[0] - 0.01, met
