@@ -5,12 +5,13 @@ The representative is the member with the best (completeness, trust, recency, sm
 Field values are chosen by currency reasoning.  A value has a form from a small fixed set: whether it is in capitals,
 carries trailing punctuation, a resolver, stray blanks or characters beyond ASCII.  Within every group the forms of a field
 are ordered by the time they were first met on timestamped rows; the transitions between forms that follow each other
-directly, counted over all groups, teach which form precedes which.  In a group this gives a partial order: stamped forms by
-their latest time, forms met only on rows without a time by the learnt precedence.  Forms with a later one in the group
-fall away, and of the values in the latest forms the one on the best member is kept.
+directly, counted over all groups, teach which form precedes which.  In a group this gives a partial order of its different
+values: stamped values by their latest time, values met only on rows without a time by the learnt precedence of their forms.
+Values with a later one in the group fall away, and of the latest values the one on the best member is kept.
 
-All of it is aggregation by (group, field, form): a group that holds a third of all rows is reduced where its rows are, and
-what is left of it is at most ``FORMS`` rows a field.
+All of it is aggregation, first by (group, field, value), then by (group, field, form): of the values of one form only the
+latest stamped one and the best one without a time can be kept, so a group that holds a third of all rows is reduced where
+its rows are, and what is left of it is at most 2 * ``FORMS`` rows a field.
 
 Cases: null and NaN completeness rank lowest; an unlisted source ranks after all listed ones; null times rank last; members
 listed twice count once; members that aren't records are left out; a group with one member or none has no row; blank values
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from citeloom.session import settle
+
 #: The fields that a surviving record takes value by value.
 FIELDS = ("title", "abstract", "journal", "volume", "issue", "start_page", "end_page", "doi", "pmid", "pmcid", "language", "url", "record_type")
 FORMS = 64
@@ -70,20 +73,25 @@ def form(v: Column) -> Column:
 
 
 def field_values(clusters: DataFrame, members: DataFrame, records: DataFrame, priority: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(cluster_id, field, value, form, first_at, last_at, best): per group, field and form the value on the best member."""
+    """(cluster_id, field, form, first_at, value, last_at, best): per group, field and form the latest stamped value and the
+    best one that is never stamped.  ``first_at`` is that of the form."""
     x = ranked_members(clusters, members, records, priority, fields)
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
-    y = x.select("cluster_id", "rank", F.explode(pairs).alias("e")).select("cluster_id", "rank", "e.field", "e.value")
-    y = y.filter("value is not null and trim(value) <> ''").withColumn("form", form(F.col("value")))
-    return y.groupBy("cluster_id", "field", "form").agg(
-        F.max_by("value", F.col("rank")).alias("value"), F.max("rank").alias("best"), F.min("rank.at").alias("first_at"), F.max("rank.at").alias("last_at")
+    y = x.select("cluster_id", "rank", F.explode(pairs).alias("e")).select("cluster_id", "rank", "e.field", "e.value").filter("value is not null and trim(value) <> ''")
+    y = y.groupBy("cluster_id", "field", "value").agg(F.max("rank").alias("best"), F.min("rank.at").alias("first_at"), F.max("rank.at").alias("last_at"))
+    whole, stamped = F.struct("value", "last_at", "best"), F.col("last_at").isNotNull()
+    z = y.withColumn("form", form(F.col("value"))).groupBy("cluster_id", "field", "form").agg(
+        F.min("first_at").alias("first_at"),
+        F.array(F.max_by(whole, F.when(stamped, F.struct("last_at", "best"))), F.max_by(whole, F.when(~stamped, F.col("best")))).alias("kept"),
     )
+    return z.select("cluster_id", "field", "form", "first_at", F.explode("kept").alias("k")).filter("k is not null").select("cluster_id", "field", "form", "first_at", "k.*")
 
 
 def precedence(values: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     """(field, earlier, later): forms of which the later one usually follows, learnt over all groups. At most FORMS^2 a field."""
     w = W.partitionBy("cluster_id", "field").orderBy("first_at", "form")
-    t = values.filter("first_at is not null").select("field", "form", F.lag("form").over(w).alias("before"), F.lag("first_at").over(w).alias("t0"), "first_at")
+    forms = values.groupBy("cluster_id", "field", "form").agg(F.min("first_at").alias("first_at")).filter("first_at is not null")
+    t = forms.select("field", "form", F.lag("form").over(w).alias("before"), F.lag("first_at").over(w).alias("t0"), "first_at")
     t = t.filter("before is not null and t0 < first_at").groupBy("field", F.col("before").alias("earlier"), F.col("form").alias("later")).agg(F.count("*").alias("n"))
     back = t.select("field", F.col("earlier").alias("later"), F.col("later").alias("earlier"), F.col("n").alias("m"))
     return t.join(back, ["field", "earlier", "later"], "left").filter(F.col("n") > least_share * (F.col("n") + F.coalesce("m", F.lit(0)))).select("field", "earlier", "later")
@@ -91,16 +99,17 @@ def precedence(values: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame
 
 def surviving_values(clusters: DataFrame, members: DataFrame, records: DataFrame, priority: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(cluster_id, field, value): the value that each active cluster of two or more keeps for each field it has."""
-    v = field_values(clusters, members, records, priority, fields)
-    order = precedence(v)
-    a = v.alias("a")
-    later = v.select("cluster_id", "field", F.col("form").alias("later"), F.col("last_at").alias("t1"))
-    both = a.select("cluster_id", "field", "form", "last_at").join(later, ["cluster_id", "field"]).filter("form <> later")
-    known = both.join(F.broadcast(order.select("field", F.col("earlier").alias("form"), "later", F.lit(True).alias("learnt"))), ["field", "form", "later"], "left")
-    over = known.filter(F.when(F.col("last_at").isNotNull() & F.col("t1").isNotNull(), F.col("last_at") < F.col("t1")).otherwise(F.coalesce("learnt", F.lit(False))))
-    # precedence that is learnt can be circular; a form then falls only before a stamped one, and a group never loses all
-    sinks = v.join(over.select("cluster_id", "field", "form").distinct(), ["cluster_id", "field", "form"], "left_anti")
-    sunk = sinks.groupBy("cluster_id", "field").agg(F.max_by("value", "best").alias("latest"))
-    any_ = v.groupBy("cluster_id", "field").agg(F.max_by("value", "best").alias("fallback"))
+    v = settle(field_values(clusters, members, records, priority, fields), "values")
+    # a set of forms is a long with one bit for each
+    bit, free = lambda c: F.expr(f"shiftleft(1L, cast({c} as int))"), F.col("last_at").isNull()
+    after = precedence(v).groupBy("field", F.col("earlier").alias("form")).agg(F.bit_or(bit("later")).alias("after"))
+    none = F.lit(0).cast("long")
+    group = v.groupBy("cluster_id", "field").agg(F.max("last_at").alias("top"), F.bit_or(bit("form")).alias("all"), F.coalesce(F.bit_or(F.when(free, bit("form"))), none).alias("free"))
+    x = v.join(group, ["cluster_id", "field"]).join(F.broadcast(after), ["field", "form"], "left").withColumn("after", F.coalesce("after", none))
+    learnt = F.col("after").bitwiseAND(F.when(free, F.col("all")).otherwise(F.col("free"))) != 0
+    newest = F.coalesce(F.col("last_at") == F.col("top"), F.lit(False))
+    x = x.withColumn("latest", ~learnt & (free | newest))
+    # precedence that is learnt can be circular; where a group would lose all, its newest stamped values stay
+    best = x.groupBy("cluster_id", "field").agg(F.max_by("value", F.struct("latest", (~F.col("latest") & newest).alias("newest"), "best")).alias("value"))
     many = representatives(clusters, members, records, priority).select("cluster_id")
-    return any_.join(sunk, ["cluster_id", "field"], "left").join(many, "cluster_id", "left_semi").select("cluster_id", "field", F.coalesce("latest", "fallback").alias("value"))
+    return best.join(many, "cluster_id", "left_semi").select("cluster_id", "field", "value")

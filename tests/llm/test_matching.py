@@ -96,3 +96,22 @@ def test_longer_keys_miss_no_more_pairs():
         assert len({int(k) & 0x1FFF for k in a[0]}) == a.shape[1] == sum(M.tables(bits).values())
         met.append((a == b)[:, : M.tables(bits)["title"]].any(1).mean())
     assert met[0] > 0.95 and met[1] > met[0] - 0.01, met
+
+
+def test_survivors_keep_the_latest_value_of_one_form(spark):
+    t = lambda d: datetime.datetime(2020, 1, d)
+    rows = [
+        (1, 9.0, "A", t(1), "Old name"), (2, 1.0, "A", t(5), "New name"), (3, 5.0, "A", t(3), "Mid name"),
+        (4, 1.0, "A", t(2), "Tie one"), (5, 2.0, "A", t(2), "Tie two"), (6, 1.0, "A", t(1), "Tie two"),
+        (7, 9.0, "A", t(1), "Once"), (8, 1.0, "A", None, "Late"), (9, 1.0, "A", t(4), "Twice"), (10, 9.5, "A", None, "Once"),
+        (11, 9.0, "A", None, "BIG"), (12, 1.0, "A", t(1), "Small"), (13, 1.0, "A", t(1), "LOUD"), (14, 1.0, "A", t(2), "Quiet"),
+    ]
+    groups = {1: (1, 2, 3), 2: (4, 5, 6), 3: (7, 9, 10), 4: (11, 12), 5: (13, 14), 6: (7, 8)}
+    tables = (
+        spark.createDataFrame([(c, None, "active") for c in groups], "cluster_id long, canonical_record_id long, status string"),
+        spark.createDataFrame([(c, r, "") for c, rs in groups.items() for r in rs], "cluster_id long, record_id long, merged_stage string"),
+        spark.createDataFrame(rows, "id long, completeness_score double, source_db string, created_at timestamp, title string"), spark.createDataFrame([], "source_db string, trust_rank int"),
+    )
+    got = {r["cluster_id"]: r["value"] for r in survivors.surviving_values(*tables, fields=("title",)).collect()}
+    # rank decides between values of one time and between a time and none of the same form; BIG is of a form that is learnt to be earlier
+    assert got == {1: "New name", 2: "Tie two", 3: "Twice", 4: "Small", 5: "Quiet", 6: "Once"}
