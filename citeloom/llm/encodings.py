@@ -16,6 +16,7 @@ give one row; extra columns are ignored; empty tables give empty results.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -92,11 +93,14 @@ class Speech:
     def __init__(self, counts: dict[str, int]):
         self.total = max(1, sum(counts.values()))
         self.counts = counts
-        self.by_lead: dict[tuple[int, int], list[tuple[str, bytes]]] = {}
+        #: (bytes of the whole sequence, known bytes with -1 for lost ones, fewer where it is cut off) -> most frequent character
+        self.fitting: dict[tuple[int, tuple[int, ...]], str] = {}
         for ch in sorted(counts, key=lambda c: -counts[c]):
             if 128 <= ord(ch) < 0x10000 and not 0xD800 <= ord(ch) < 0xE000 and counts[ch] > 1:
                 b = ch.encode("utf-8")
-                self.by_lead.setdefault((len(b), b[0]), []).append((ch, b))
+                for size in range(1, len(b) + 1):
+                    for known in itertools.product(*((x, -1) for x in b[:size])):
+                        self.fitting.setdefault((len(b), known), ch)
 
     def log(self, ch: str) -> float:
         if ch < "\x80":
@@ -113,12 +117,12 @@ class Speech:
 def decode_utf8(data: list[int], speech: Speech) -> str | None:
     """The most probable reading of a lattice of bytes with wildcards as UTF-8; a sequence may be cut off at the end."""
     n = len(data)
-    best: list[tuple[float, str] | None] = [None] * (n + 1)
-    best[0] = 0.0, ""
+    best: list[tuple[float, int, str] | None] = [None] * (n + 1)  # (score, where the last character begins, that character)
+    best[0] = 0.0, 0, ""
     for i in range(n):
         if best[i] is None:
             continue
-        score, s = best[i]  # type: ignore[misc]
+        score = best[i][0]  # type: ignore[index]
         b = data[i]
         options: list[tuple[int, str]] = []
         if 0 <= b < 128:
@@ -132,20 +136,17 @@ def decode_utf8(data: list[int], speech: Speech) -> str | None:
                         options.append((size, bytes(seq).decode("utf-8")))
                     except UnicodeDecodeError:
                         pass
-                    continue
-                if len(seq) < size and i + len(seq) < n or any(x != -1 and not 0x80 <= x < 0xC0 for x in seq[1:]):
-                    continue
-                leads = [b] if b >= 0 else [lead for k, lead in speech.by_lead if k == size]
-                for lead in leads:
-                    for ch, enc in speech.by_lead.get((size, lead), ())[:400]:
-                        if all(x in (-1, y) for x, y in zip(seq, enc)):
-                            options.append((len(seq), ch))
-                            break
+                elif (fit := speech.fitting.get((size, tuple(seq)))) is not None:
+                    options.append((len(seq), fit))
         for size, ch in options:
-            new = score + speech.log(ch) - (2.0 if -1 in data[i : i + size] else 0.0), s + ch
-            if best[i + size] is None or new[0] > best[i + size][0]:  # type: ignore[index]
-                best[i + size] = new
-    return best[n][1] if best[n] is not None else None  # type: ignore[index]
+            new = score + speech.log(ch) - (2.0 if -1 in data[i : i + size] else 0.0)
+            if best[i + size] is None or new > best[i + size][0]:  # type: ignore[index]
+                best[i + size] = new, i, ch
+    out, at = [], n
+    while at and best[at] is not None:
+        _, at, ch = best[at]  # type: ignore[misc]
+        out.append(ch)
+    return None if at else "".join(reversed(out))
 
 
 def undo(text: str, channel: tuple[str, str, int], speech: Speech) -> str | None:
@@ -225,7 +226,7 @@ def verdicts(words: DataFrame) -> DataFrame:
     spark = words.sparkSession
     chars = words.select("n", F.explode(F.array_distinct(F.split("word", ""))).alias("c")).filter(F.col("c") >= "\u0080").groupBy("c").agg(F.sum("n").alias("n"))
     shared = spark.sparkContext.broadcast({r["c"]: r["n"] for r in chars.toLocalIterator() if len(r["c"]) == 1})
-    made = words.filter(~F.col("word").contains(LOST) | F.length(F.regexp_replace("word", f"[^{LOST}]", "")).between(1, 4)).mapInArrow(_propose(shared), "word string, n long, channel int, reading string, gain double")
+    made = words.mapInArrow(_propose(shared), "word string, n long, channel int, reading string, gain double")
     # a reading is compared as it would be counted
     made = made.withColumn("as_word", plain(F.col("reading")))
     known = made.join(words.select(F.col("word").alias("as_word"), F.col("n").alias("m")), "as_word", "left").withColumn("m", F.coalesce("m", F.lit(0)))
@@ -234,7 +235,9 @@ def verdicts(words: DataFrame) -> DataFrame:
     beyond = F.length(F.regexp_replace("word", r"[\x00-\x7F]", ""))
     by_word = (F.col("m") >= LEAST_WORDS) & (F.col("m") >= LEAST_RATIO * F.col("n"))
     shorter = (F.length("reading") < F.length("word")) | ((F.col("read") == "gbk") & (F.length("reading") == F.length("word")))
-    by_form = (written == "utf-8") & shorter & (F.col("gain") > 0) & (F.col("n") < 20 * (F.col("m") + 50))
+    # where many characters are lost and no byte beyond ASCII is left to tell, only a word of the corpus will do
+    told = (F.length(F.regexp_replace("word", f"[^{LOST}]", "")) <= 4) | F.col("word").rlike(f"[^\\x00-\\x7F{LOST}]") | (F.col("m") > 0)
+    by_form = told & (written == "utf-8") & shorter & (F.col("gain") > 0) & (F.col("n") < 20 * (F.col("m") + 50))
     by_chars = written.isin("cp1251", "gbk", "koi8_r", "cp866") & (beyond >= 4) & (F.col("gain") > LEAST_GAIN) & (F.col("gain") > 2.0 * F.length("reading"))
     strength = F.when(by_word, 4.0 + F.log((F.col("m") + 1.0) / (F.col("n") + 1.0))).otherwise(F.lit(0.0)) + F.when(by_form, 6.0 + 0.1 * F.col("gain")).otherwise(0.0) + F.when(by_chars, 6.0 + 0.1 * F.col("gain")).otherwise(0.0)
     good = known.withColumn("strength", strength).filter("strength > 0")

@@ -99,3 +99,26 @@ def test_variants(spark):
     many = df.unionByName(spark.createDataFrame([(100 + i, '["Brenwild, Xaver"]', None, 7) for i in range(50)], df.schema))
     assert (5, 2) not in {tuple(r) for r in names.variants(many, a).collect()}
     assert names.variants(df.limit(0), a).count() == 0
+
+
+def test_many_lost_characters(spark):
+    gap = {0x81, 0x8D, 0x8F, 0x90, 0x9D}  # bytes that cp1252 leaves undefined
+    text = "".join([chr(c) for c in range(0x4E00, 0x9FA0) if len(gap & set(chr(c).encode())) == 1][::97][:14])
+    broken = text.encode("utf-8").decode("cp1252", "replace")
+    gaps = broken.count("�")
+    assert gaps > 4
+    rows = [(i, text, None) for i in range(30)] + [(100, broken, None), (101, "�" * 9, None)]
+    df = spark.createDataFrame(rows, "id long, title string, abstract string")
+    got = {r["record_id"]: r["text"] for r in encodings.restored(df).collect()}
+    assert set(got) == {100, 101} and "�" not in got[100] and len(got[100]) == len(text)
+    assert sum(a == b for a, b in zip(got[100], text)) >= len(text) - gaps
+    assert got[101] == "�" * 9
+
+
+def test_wildcards_fit_rare_characters():
+    # more than 400 more frequent characters share the lead byte of the rare one
+    common = [chr(c) for c in range(0x6000, 0x6F00) if chr(c).encode()[:2] != "漢".encode()[:2]]
+    speech = encodings.Speech({c: 1000 - k % 500 for k, c in enumerate(common)} | {"漢": 2})
+    b = list("漢".encode())
+    assert encodings.decode_utf8([b[0], b[1], -1], speech) == "漢" and encodings.decode_utf8([-1, b[1], b[2]], speech) == "漢"
+    assert encodings.decode_utf8([b[0], b[1]], speech) == "漢" and encodings.decode_utf8([0xFF, -1], speech) is None
