@@ -1,8 +1,8 @@
 """Citation exports as DataFrames: files to texts, texts to records, records to normalized rows.
 
-Parsing is one narrow projection.  The lines of a file become an array, the places of its records are found by index, each
-record is cut into entries the same way and only then are records exploded, so that nothing is shuffled and every file is
-parsed where it was read.
+Parsing is narrow and linear.  A text is split where its records begin, the pieces are exploded, and each record is split the
+same way into its entries, so that nothing is shuffled, every file is parsed where it was read and the work grows with the
+length of the text, however many records it holds.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,10 @@ from citeloom.sources.profiles import Profile
 
 #: Codec names that Java knows under another name; all others go through Arrow.
 JAVA_CODECS = {"utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "US-ASCII", "ascii": "US-ASCII", "latin-1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1", "utf-16": "UTF-16"}
-RIS_TAG = r"^([A-Z0-9]{2})  - ?(.*)$"
-NBIB_TAG = r"^([A-Z0-9]{2,4})\s*-\s?(.*)$"
+#: How a tagged line of each format begins.
+RIS_HEAD = "[A-Z0-9]{2}  -"
+NBIB_HEAD = r"[A-Z0-9]{2,4}[ \t]*-"
+#: Fixed value: the warning of a record that ends with its file.
 NO_END = "Missing explicit ER end tag; record finalized at EOF."
 
 
@@ -53,88 +56,86 @@ def decoded(files: DataFrame, profile: Profile, encoding: str | None = None) ->
     return files.withColumn("text", S.composed(S.normalize_lines(text))).withColumn("encoding_used", F.lit(chosen)).withColumn("encoding_source", F.lit(how))
 
 
-def _starts(lines: Column, test) -> Column:
-    """1-based places of the lines that pass ``test``."""
-    return F.filter(F.transform(lines, lambda x, i: F.when(test(x), i + 1)), lambda i: i.isNotNull())
+def _with_breaks(text: Column, strip_bom: bool) -> Column:
+    """The lines of a text, each with an LF in front of it."""
+    x = F.regexp_replace(F.regexp_replace(S.normalize_lines(F.coalesce(text, F.lit(""))), S.LINE_ENDS, "\n"), r"\n\z", "")
+    x = F.when(x == "", F.lit("")).otherwise(F.concat(F.lit("\n"), x))
+    return F.regexp_replace(x, r"\n\x{feff}+", "\n") if strip_bom else x
 
 
-def _between(lines: Column, start: Column, end: Column) -> Column:
-    """The lines from ``start`` up to before ``end``."""
-    return F.slice(lines, start, F.greatest(end - start, F.lit(0)))
+def _after_end(piece: Column, end_tag: str) -> Column:
+    """Place of the first line end behind the line of the end tag; 0 if nothing follows it or it isn't there."""
+    at = F.position(F.lit(f"\n{end_tag}  -"), piece)
+    return F.when(at > 0, F.position(F.lit("\n"), piece, at + 1)).otherwise(F.lit(0))
 
 
-def _entries(lines: Column, tag: str) -> Column:
-    """struct(tag, value) of the tagged lines, each with the lines that go on with it."""
-    at = _starts(lines, lambda x: x.rlike(tag))
+def _active(piece: Column, end_tag: str | None) -> Column:
+    """The lines of a record up to its end tag."""
+    if end_tag is None:
+        return piece
+    return F.when(_after_end(piece, end_tag) > 0, F.substring(piece, F.lit(1), _after_end(piece, end_tag) - 1)).otherwise(piece)
 
-    def one(i: Column, k: Column) -> Column:
-        nxt = F.coalesce(F.get(at, k + 1), F.size(lines) + 1)
-        line = F.element_at(lines, i)
-        more = F.filter(F.transform(_between(lines, i + 1, nxt), S.strip), lambda v: v != "")
-        first = S.strip(F.regexp_extract(line, tag, 2))
-        value = F.array_join(F.filter(F.concat(F.array(first), more), lambda v: v != ""), " ")
-        return F.struct(F.regexp_extract(line, tag, 1).alias("tag"), value.alias("value"))
 
-    return F.transform(at, one)
+def _entries(record: Column, head: str) -> Column:
+    """struct(tag, value) of the tagged lines of a record, each with the lines that go on with it."""
 
+    def one(e: Column) -> Column:
+        lines = F.transform(F.split(F.substring(e, F.position(F.lit("-"), e) + 1, F.length(e)), "\n"), S.strip)
+        return F.struct(F.regexp_extract(e, "^([A-Z0-9]+)", 1).alias("tag"), F.array_join(F.filter(lines, lambda v: v != ""), " ").alias("value"))
 
-def _ris_segments(lines: Column, start_tag: str, end_tag: str) -> Column:
-    """struct(active, raw, unfinished) of each record of a file in RIS."""
-    opens = _starts(lines, lambda x: x.rlike(f"^{start_tag}  - ?.*$"))
+    parts = F.split(record, f"\n(?={head})")
+    return F.transform(F.slice(parts, 2, F.size(parts)), one)
 
-    def segment(i: Column, k: Column) -> Column:
-        nxt = F.coalesce(F.get(opens, k + 1), F.size(lines) + 1)
-        own = _between(lines, i, nxt)
-        ends = _starts(own, lambda x: x.rlike(f"^{end_tag}  - ?.*$"))
-        end = F.get(ends, F.lit(0))
-        active = F.when(end.isNotNull(), F.slice(own, 1, F.coalesce(end, F.lit(0)))).otherwise(own)
-        # lines after the end of a record belong to the raw text of the next one
-        tail = F.when(end.isNotNull(), F.slice(own, F.coalesce(end, F.lit(0)) + 1, F.size(own))).otherwise(F.array().cast("array<string>"))
-        return F.struct(active.alias("active"), tail.alias("tail"), (end.isNull() & (nxt > F.size(lines))).alias("unfinished"))
 
-    segs = F.transform(opens, segment)
-    lead = _between(lines, F.lit(1), F.coalesce(F.get(opens, F.lit(0)), F.size(lines) + 1))
-    return F.transform(segs, lambda s, k: F.struct(s["active"].alias("active"), F.concat(F.when(k == 0, lead).otherwise(F.coalesce(F.get(segs, k - 1)["tail"], F.array().cast("array<string>"))), s["active"]).alias("raw"), s["unfinished"].alias("unfinished")))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _firsts(sizes: pd.Series) -> pd.Series:
+    """The ordinals with which runs of the given sizes begin, counted from 1."""
+    return sizes.map(lambda n: np.cumsum(n, dtype=np.int32) - n + 1)
 
 
-def _nbib_segments(lines: Column, start_tag: str) -> Column:
-    """The same for NBIB: a blank line or the start tag closes a record, any tag opens one."""
-    empty = lambda x: S.strip(x) == ""
-    cuts = _starts(lines, lambda x: empty(x) | x.rlike(rf"^{start_tag}\s*-\s?.*$"))
-    bounds = F.concat(F.array(F.lit(1)), F.filter(cuts, lambda i: i > 1))
-    parts = F.transform(bounds, lambda i, k: _between(lines, i, F.coalesce(F.get(bounds, k + 1), F.size(lines) + 1)))
-    real = F.filter(parts, lambda p: F.exists(p, lambda x: x.rlike(NBIB_TAG)))
-
-    def segment(p: Column) -> Column:
-        first = F.get(_starts(p, lambda x: x.rlike(NBIB_TAG)), F.lit(0))
-        own = F.filter(F.slice(p, first, F.size(p)), lambda x: ~empty(x))
-        return F.struct(own.alias("active"), own.alias("raw"), F.lit(False).alias("unfinished"))
-
-    return F.transform(real, segment)
+def _pieces(x: DataFrame, profile: Profile) -> tuple[DataFrame, str | None]:
+    """(path, own, before): for each text the pieces that hold one record each and the pieces in front of them."""
+    if profile.format == "ris":
+        x = x.select("path", F.split("text", f"\n(?={profile.start_tag}  -)").alias("p"))
+        # a split takes the LF in front of a record away
+        own = F.transform(F.slice("p", 2, F.size("p")), lambda v: F.concat(F.lit("\n"), v))
+        before = F.transform(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))), lambda v, i: F.when(i == 0, v).otherwise(F.concat(F.lit("\n"), v)))
+        return x.select("path", own.alias("own"), before.alias("before")), profile.end_tag or "ER"
+    # a blank line or the start tag closes a record, any tag opens one
+    blank = r"[ \t\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]*(?:\n|\z)"
+    own = F.transform(F.split("text", rf"\n(?={blank}|{profile.start_tag}[ \t]*-)"), lambda v: F.concat(F.lit("\n"), v))
+    x = x.select("path", F.filter(own, lambda v: v.rlike(f"\n{NBIB_HEAD}")).alias("own"))
+    return x.select("path", "own", F.col("own").alias("before")), None
 
 
 def parse(texts: DataFrame, profile: Profile, path: str = "path", text: str = "text") -> DataFrame:
     """(path, rec, first_position, entries, fields, warnings, raw_text): the records of each text.
 
     ``rec`` counts the records of a file from 1; the position of an entry in its file is ``first_position`` plus its index.
+    Lines between two RIS records belong to the raw text of the later one.
     """
     if profile.format not in ("ris", "nbib"):
         raise ValueError(f"unknown format {profile.format}")
-    x = texts.select(F.col(path).alias("path"), S.split_lines(S.normalize_lines(F.coalesce(F.col(text), F.lit("")))).alias("lines"))
-    if profile.strip_bom:
-        x = x.withColumn("lines", F.transform("lines", lambda v: F.regexp_replace(v, r"^\x{feff}+", "")))
-    segs = _ris_segments(F.col("lines"), profile.start_tag, profile.end_tag or "ER") if profile.format == "ris" else _nbib_segments(F.col("lines"), profile.start_tag)
-    x = x.select("path", segs.alias("segs"))
-    tag = RIS_TAG if profile.format == "ris" else NBIB_TAG
-    recs = F.transform("segs", lambda s: F.struct(_entries(s["active"], tag).alias("entries"), F.array_join(s["raw"], "\n").alias("raw_text"), s["unfinished"].alias("unfinished")))
-    x = x.select("path", recs.alias("recs"))
-    before = lambda k: F.aggregate(F.slice("recs", 1, k), F.lit(0), lambda n, r: n + F.size(r["entries"]))
-    x = x.select("path", F.posexplode(F.transform("recs", lambda r, k: F.struct(r["entries"].alias("entries"), r["raw_text"].alias("raw_text"), r["unfinished"].alias("unfinished"), (before(k) + 1).alias("first")))).alias("k", "r"))
-    tags = F.array_distinct(F.transform("r.entries", lambda e: e["tag"]))
-    fields = F.map_from_arrays(tags, F.transform(tags, lambda t: F.transform(F.filter("r.entries", lambda e: e["tag"] == t), lambda e: e["value"])))
+    ris = profile.format == "ris"
+    head = RIS_HEAD if ris else NBIB_HEAD
+    x, end = _pieces(texts.select(F.col(path).alias("path"), _with_breaks(F.col(text), ris and profile.strip_bom).alias("text")), profile)
+    first = _firsts(F.transform("own", lambda v: F.regexp_count(_active(v, end), F.lit(f"\n(?={head})"))))
+    x = x.select("path", F.size("own").alias("n"), F.arrays_zip("own", "before", first.alias("first")).alias("z"))
+    x = x.select("path", "n", F.posexplode("z").alias("k", "z")).select("path", "n", "k", "z.own", "z.before", F.col("z.first").alias("first"))
+    if ris:
+        at = _after_end(F.col("before"), end)
+        between = F.when(F.col("k") == 0, F.col("before")).when(at > 0, F.substring("before", at, F.length("before"))).otherwise(F.lit(""))
+        raw = F.concat(between, _active(F.col("own"), end))
+        unfinished = (F.position(F.lit(f"\n{end}  -"), F.col("own")) == 0) & (F.col("k") == F.col("n") - 1)
+    else:
+        raw = F.concat(F.lit("\n"), F.array_join(F.slice(F.split("own", f"\n(?={head})"), 2, F.length("own")), "\n"))
+        unfinished = F.lit(False)
+    x = x.select("path", "k", "first", F.substring(raw, F.lit(2), F.length(raw)).alias("raw_text"), unfinished.alias("unfinished"), F.explode(F.array(_entries(_active(F.col("own"), end), head))).alias("entries"))
+    tags = F.array_distinct(F.transform("entries", lambda e: e["tag"]))
+    fields = F.map_from_arrays(tags, F.transform(tags, lambda t: F.transform(F.filter("entries", lambda e: e["tag"] == t), lambda e: e["value"])))
     return x.select(
-        "path", (F.col("k") + 1).alias("rec"), F.col("r.first").alias("first_position"), F.col("r.entries").alias("entries"), fields.alias("fields"),
-        F.when(F.col("r.unfinished"), F.array(F.lit(NO_END))).otherwise(F.array().cast("array<string>")).alias("warnings"), F.col("r.raw_text").alias("raw_text"),
+        "path", (F.col("k") + 1).alias("rec"), F.col("first").alias("first_position"), "entries", fields.alias("fields"),
+        F.when(F.col("unfinished"), F.array(F.lit(NO_END))).otherwise(F.array().cast("array<string>")).alias("warnings"), "raw_text",
     )
 
 

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +98,65 @@ def test_profiles(tmp_path):
     s = profiles.load_settings(c)
     assert {"own", "standard_ris"} <= set(s.profiles) and s.source_priority == ("WoS", "PubMed", "Embase", "RIS")
     assert c.read_text().startswith('{"profiles": {"own"')
+
+
+def test_raw_text_and_line_ends(spark):
+    text = "\n\nTY  - A\r\nER  - \r\nER  - stray ZZ  - also\x0bTY  - B\nTI  - x\nTY  - C\nER  -\n\n"
+    recs = rows(spark, text, "standard_ris").orderBy("rec").collect()
+    assert [r["raw_text"] for r in recs] == ["\n\nTY  - A\nER  - ", "ER  - stray\nZZ  - also\nTY  - B\nTI  - x", "TY  - C\nER  -"]
+    assert [r["first_position"] for r in recs] == [1, 3, 5] and not any(r["warnings"] for r in recs)
+    bom = spark.createDataFrame([("p", "﻿TY  - A\n﻿﻿TI  - t\n﻿ER  - \n")], "path string, text string")
+    assert exports.parse(bom, BUILT_IN["wos_ris"]).first()["fields"]["TI"] == ["t"]
+    assert "TI" not in exports.parse(bom, BUILT_IN["standard_ris"]).first()["fields"]
+    n = rows(spark, "loose\n  　\nAB-\n-x\nTI  - t\n \nPMID- 2\nPMID - 3", "pubmed_nbib").orderBy("rec").collect()
+    assert [[tuple(e) for e in r["entries"]] for r in n] == [[("AB", "-x"), ("TI", "t")], [("PMID", "2")], [("PMID", "3")]]
+    assert n[0]["raw_text"] == "AB-\n-x\nTI  - t" and [r["first_position"] for r in n] == [1, 3, 4]
+
+
+def walked(text, start, end):
+    """Records of a RIS text, line by line."""
+    out, cur = [], None
+    for line in text.split("\n"):
+        tagged = re.match("([A-Z0-9]{2})  - ?(.*)$", line)
+        if tagged and tagged[1] == start:
+            cur = []
+            out.append(cur)
+        if cur is None:
+            continue
+        if tagged:
+            cur.append([tagged[1], [tagged[2].strip()]])
+        elif cur:
+            cur[-1][1].append(line.strip())
+        if tagged and tagged[1] == end:
+            cur = None
+    return [[(t, " ".join(v for v in vs if v)) for t, vs in r] for r in out]
+
+
+def test_random_texts(spark):
+    rng = random.Random(6)
+    parts = ["TY  - JOUR", "TY  -", "ER  - ", "ER  -x", "AU  - A, B", "AU  -  ", "  more", "", "x-y", "TI - no tag", "KW  - a - b", "ty  - low"]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(150)]
+    got = exports.parse(spark.createDataFrame(list(enumerate(texts)), "path int, text string"), BUILT_IN["standard_ris"]).orderBy("path", "rec").collect()
+    for i, t in enumerate(texts):
+        mine = [r for r in got if r["path"] == i]
+        assert [[tuple(e) for e in r["entries"]] for r in mine] == walked(t, "TY", "ER")
+        n = 1
+        for r in mine:
+            assert r["first_position"] == n
+            n += len(r["entries"])
+
+
+@pytest.mark.parametrize("profile,one", [
+    ("standard_ris", "TY  - JOUR\nTI  - Title {0}\n goes on\nAU  - Smith, J.\nAU  - Jones, M.\nAB  - Some words of an abstract\nPY  - 2001\nDO  - 10.1000/{0}\nER  - \n"),
+    ("pubmed_nbib", "PMID- {0}\nTI  - Title {0}\n      goes on\nAU  - Smith J\nFAU - Smith, John\nAB  - Some words\nDP  - 2001\nLID - 10.1000/{0} [doi]\n\n"),
+])
+def test_time_grows_with_the_records(spark, profile, one):
+    def seconds(n):
+        df = spark.createDataFrame([("p", "".join(one.format(i) for i in range(n)))], "path string, text string")
+        began = time.perf_counter()
+        assert exports.parse(df, BUILT_IN[profile]).select(F.sum(F.size("entries") + F.size("fields") + F.length("raw_text"))).first()[0] > 0
+        return time.perf_counter() - began
+
+    seconds(100)
+    few, many = min(seconds(100) for _ in range(2)), seconds(10_000)
+    assert many < 20 and many < few + 10_000 * 0.002
