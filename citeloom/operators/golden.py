@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import scalars as S
 
-#: Fields that a canonical record takes over from the first member that has them, where its own is missing.
+#: Fields that a canonical record takes over from the first member that has them, where its own is missing.
 BACKFILLED = ("abstract", "journal", "volume", "issue", "start_page", "end_page", "url", "language", "doi", "pmid", "pmcid")
+# Fields that are its own, and the columns of the export.
 OWN = ("source_db", "record_type", "record_type_category", "title", "year")
 CSV_COLUMNS = ("cluster_id", "canonical_record_id", "source_db", "record_type", "title", "year", "authors", "journal", "volume", "issue", "start_page", "end_page", "doi", "pmid", "pmcid", "abstract", "keywords", "language", "url", "member_count", "source_members")
 
@@ -85,6 +86,12 @@ def write_csv(rows: DataFrame, path: str | Path, columns: tuple[str, ...] = CSV_
         f.writelines(_csv_lines(rows.orderBy(order).toLocalIterator(), columns))
 
 
+def write_parts(golden: DataFrame, folder: str) -> None:
+    """``folder``/csv and ``folder``/ris in parts that follow each other by cluster id; no row passes the driver."""
+    csv_rows(golden).repartitionByRange("cluster_id").sortWithinPartitions("cluster_id").write.csv(f"{folder}/csv", header=True, quote='"', escape='"', emptyValue="")
+    ris_text(golden).repartitionByRange("cluster_id").sortWithinPartitions("cluster_id").select("text").write.text(f"{folder}/ris")
+
+
 def write_ris(texts: DataFrame, path: str | Path, encoding: str = "utf-8") -> None:
     with open(path, "w", encoding=encoding, newline="") as f:
         for r in texts.orderBy("cluster_id").toLocalIterator():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.session import settle
+from citeloom.session import forget, settle
 
 MOST_ROUNDS = 60
 
@@ -33,7 +33,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not last[0]:
             break
-        now = settle(_star(_star(now, True), False), "stars")
+        old, now = now, settle(_star(_star(now, True), False), "stars")
+        forget(old)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).cast("decimal(38,0)"))).first())
         if new == last:
             break

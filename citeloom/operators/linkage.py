@@ -15,6 +15,8 @@ from citeloom.session import settle
 KINDS = ("pmid", "doi", "pmcid")
 NEVER = ("correction", "chapter")
 FAR_YEARS = 99
+#: Rows of one block that are joined at once.
+PART = 2_000
 
 
 def identifiers(records: DataFrame) -> DataFrame:
@@ -91,7 +93,7 @@ def _block_array() -> Column:
     """The blocks of a record: title and year, first author and title, journal, volume and page."""
     t, fa, j = (F.coalesce(c, F.lit("")) for c in ("title_norm", "first_author_norm", "journal_norm"))
     keys = F.array(
-        F.when(t != "", F.concat_ws(":", F.lit("ty"), F.col("year").cast("string"), F.left(t, F.lit(40)))),
+        F.when(t != "", F.concat_ws(":", F.lit("ty"), F.coalesce(F.when(F.col("year") != 0, F.col("year").cast("string")), F.lit("")), F.left(t, F.lit(40)))),
         F.when((t != "") & (fa != ""), F.concat_ws(":", F.lit("at"), fa, F.left(t, F.lit(28)))),
         F.when((j != "") & ~S.blank(F.col("volume")) & ~S.blank(F.col("start_page")), F.concat_ws(":", F.lit("jvp"), j, "volume", "start_page")),
     )
@@ -99,8 +101,8 @@ def _block_array() -> Column:
 
 
 def block_keys(reps: DataFrame) -> DataFrame:
-    """(id, cluster_id, key): the blocks of each representative; rows without a year can't pass any rule and are left out."""
-    return reps.filter("year is not null").select("id", "cluster_id", F.explode(_block_array()).alias("key"))
+    """(id, cluster_id, key): the blocks of each representative."""
+    return reps.select("id", "cluster_id", F.explode(_block_array()).alias("key"))
 
 
 PAIR_COLUMNS = ("title_norm", "author_surnames", "first_author_norm", "journal_norm", "page_key", "year", "doi", "pmid", "record_type_category")
@@ -108,8 +110,20 @@ PAIR_COLUMNS = ("title_norm", "author_surnames", "first_author_norm", "journal_n
 
 def candidate_pairs(reps: DataFrame) -> DataFrame:
     """(left_id, right_id): distinct pairs that share a block, smaller id first."""
-    k = block_keys(reps).select("id", "key")
-    return k.alias("l").join(k.alias("r"), "key").filter("l.id < r.id").select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")).distinct()
+    return _pairs_within(block_keys(reps).select("id", "key"), ["key"]).distinct()
+
+
+def _pairs_within(rows: DataFrame, keys: list[str], part: int = PART) -> DataFrame:
+    """(left_id, right_id) of rows (id, *keys) with equal keys.
+
+    A key with more than ``part`` rows is divided into parts and joined as cells of two parts, so no task gets it whole.
+    """
+    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / part).cast("int").alias("_g")).filter("_g > 1")
+    m = rows.join(parts, keys, "left").withColumn("_g", F.coalesce("_g", F.lit(1)))
+    m = m.withColumn("_p", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    left = m.select(*keys, F.col("id").alias("left_id"), F.col("_p").alias("_i"), F.col("_o").alias("_j"))
+    right = m.select(*keys, F.col("id").alias("right_id"), F.col("_o").alias("_i"), F.col("_p").alias("_j"))
+    return left.join(right, [*keys, "_i", "_j"]).filter("left_id < right_id").select("left_id", "right_id")
 
 
 def with_sides(pairs: DataFrame, records: DataFrame, columns: tuple[str, ...] = PAIR_COLUMNS) -> DataFrame:
@@ -158,13 +172,22 @@ def recommendation(t: Column) -> Column:
 
 
 def evaluated(x: DataFrame) -> DataFrame:
-    """Adds title_score, year_score, composite_score and recommendation to pairs with flags."""
+    """Adds title_score, year_score, composite_score and recommendation to pairs with flags.
+
+    The rules see the scores as they are; what is kept of them is rounded.
+    """
     x = x.withColumn("title_score", S.token_set_ratio(F.coalesce("l_title_norm", F.lit("")), F.coalesce("r_title_norm", F.lit(""))))
     bit = lambda c: F.when(F.col(c), 100.0).otherwise(0.0)
     years = F.greatest(F.lit(0.0), 100.0 - 20.0 * F.least(F.col("year_diff"), F.lit(5)))
     x = x.withColumns({"author_score": F.col("author_overlap") * 100.0, "year_score": years, "recommendation": recommendation(F.col("title_score"))})
     total = 0.6 * F.col("title_score") + 0.15 * F.col("author_score") + 0.1 * bit("journal_match") + 0.05 * bit("first_author_match") + 0.05 * bit("page_match") + 0.05 * years
-    return x.withColumn("composite_score", total)
+    x = x.withColumn("composite_score", rounded(total, 2))
+    return x.withColumns({"title_score": rounded(F.col("title_score"), 2), "author_score": rounded(F.col("author_score"), 2), "author_overlap": rounded(F.col("author_overlap"), 4)})
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to so many digits by its exact binary value, ties to even; for values below 1,000."""
+    return F.format_number(x, digits).cast("double")
 
 
 def kept_pairs(reps: DataFrame) -> DataFrame:
@@ -178,9 +201,11 @@ def kept_pairs(reps: DataFrame) -> DataFrame:
     shared = F.concat(F.array(part("f:", "first_author_norm"), part("j:", "journal_norm"), part("p:", "page_key")), F.transform(F.coalesce("author_surnames", none), lambda n: F.concat(F.lit("s:"), n)))
     x = reps.filter("year is not null and year <> 0").select("id", "cluster_id", "year", F.array_distinct(F.array_compact(shared)).alias("shared"), "title_norm", "first_author_norm", "journal_norm", "volume", "start_page")
     k = x.select("id", "year", "shared", F.explode(_block_array()).alias("key"))
+    # most blocks hold one record; these need no further keys
+    k = k.join(k.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi")
     near = F.when(F.col("key").startswith("ty:"), F.array("year")).otherwise(F.array(F.col("year"), F.col("year") + 1))
     k = k.withColumn("y", F.explode(near)).withColumn("s", F.explode("shared")).select("id", "key", "y", "s")
-    return k.alias("l").join(k.alias("r"), ["key", "y", "s"]).filter("l.id < r.id").select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")).distinct()
+    return _pairs_within(k, ["key", "y", "s"]).distinct()
 
 
 def scored_pairs(reps: DataFrame) -> DataFrame:
@@ -201,6 +226,18 @@ def merged(members: DataFrame, edges: DataFrame) -> DataFrame:
     return x.join(low, "c").select(F.col("record_id").alias("id"), "root")
 
 
+# The figures of the stages.
+EXACT_METRICS = ("raw_records", "exact_clusters", "merged_records", "pmid_groups", "doi_groups", "pmcid_groups")
+FUZZY_METRICS = ("pre_fuzzy_clusters", "auto_merge_pairs", "manual_review_pending", "post_fuzzy_clusters")
+
+
+def fuzzy_metrics(before: DataFrame, after: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row of ``FUZZY_METRICS`` from the clusters before and after the merge and the pairs."""
+    n = pairs.agg(F.count(F.when(F.col("status") == "auto_merged", 1)).alias("auto_merge_pairs"), F.count(F.when(F.col("status") == "pending", 1)).alias("manual_review_pending"))
+    one = lambda t, name: t.agg(F.count("*").alias(name))
+    return n.crossJoin(one(before, "pre_fuzzy_clusters")).crossJoin(one(after, "post_fuzzy_clusters")).select(*FUZZY_METRICS)  # three rows of one
+
+
 def fuzzy(records: DataFrame, clusters: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(clusters, members, pairs) after the probable duplicates were joined; needs clusters of the exact stage."""
     if clusters.isEmpty():
@@ -222,7 +259,8 @@ def final_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     together = F.coalesce(F.col("left_cluster_id") == F.col("right_cluster_id"), F.lit(False))
     auto = (F.col("recommendation") == "auto_merge") | together
     x = x.withColumn("pair_key", S.pair_key(F.col("left_id"), F.col("right_id"))).withColumn("recommendation", F.when(auto, "auto_merge").otherwise(F.col("recommendation")))
-    return x.withColumn("status", F.when(F.col("recommendation") == "auto_merge", "auto_merged").otherwise("pending")).select(
+    x = x.withColumn("status", F.when(F.col("recommendation") == "auto_merge", "auto_merged").otherwise("pending")).withColumn("created_at", F.current_timestamp())
+    return x.withColumn("resolved_at", F.when(F.col("status") != "pending", F.col("created_at"))).select(
         "pair_key", F.col("left_id").alias("left_record_id"), F.col("right_id").alias("right_record_id"), "left_cluster_id", "right_cluster_id", "title_score", "author_score", "author_overlap",
-        "first_author_match", "journal_match", "year_diff", "page_match", "doi_conflict", "pmid_conflict", "type_conflict", "composite_score", "recommendation", "status",
+        "first_author_match", "journal_match", "year_diff", "page_match", "doi_conflict", "pmid_conflict", "type_conflict", "composite_score", "recommendation", "status", "created_at", "resolved_at",
     )

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import scalars as S
 
-# The fields of the missing-value profile and the tags that are counted.
-PROFILED = ("title", "abstract", "authors", "journal", "year", "doi", "pmid", "keywords")
-OBSERVED = ("AB", "N2", "TI", "T1", "AU", "FAU", "A1", "DO", "LID", "AID", "PMID", "KW")
+# The fields of the missing-value profile with the columns they are read from, and the tags that are counted.
+PROFILED = {"title": "title", "authors": "authors", "year": "year", "abstract": "abstract", "doi": "doi", "pmid": "pmid", "journal": "journal", "pages": "start_page"}
+OBSERVED = ("AB", "N2", "PMID", "DO", "AID", "LID", "T1", "TI", "A1", "AU", "Y1", "PY")
+# The keys of the report.
+SUMMARY = ("total_source_files", "raw_imported_records", "exact_deduplicated_clusters", "fuzzy_auto_merged_clusters", "manual_review_pending", "final_unique_clusters")
+SECTIONS = ("summary", "source_breakdown", "missing_key_fields", "record_type_distribution", "exact_metrics", "fuzzy_metrics", "review_metrics", "encoding_summary", "encoding_by_file", "parser_profile_summary")
 
 
 def summary_counts(**tables: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def encoding_summary(files: DataFrame) -> DataFrame:
 
 
 def encoding_by_file(files: DataFrame) -> DataFrame:
-    return files.select("id", "path", "profile_name", F.coalesce("encoding_used", F.lit("")).alias("encoding_used"), F.coalesce("encoding_source", F.lit("")).alias("encoding_source"))
+    return files.select("id", "path", "profile_name", F.coalesce("encoding_used", F.lit("")).alias("encoding_used"), F.coalesce("encoding_source", F.lit("")).alias("encoding_source"), "record_count")
 
 
 def missing_fields(records: DataFrame) -> DataFrame:
@@ -51,17 +54,26 @@ def missing_fields(records: DataFrame) -> DataFrame:
             return F.coalesce(F.size(f), F.lit(0)) <= 0
         return F.coalesce(F.col(f), F.lit(0)) == 0 if kind in ("int", "bigint") else S.blank(F.col(f))
 
-    one = records.agg(F.count("*").alias("total"), *[F.sum(F.when(absent(f), 1).otherwise(0)).alias(f) for f in PROFILED])
+    one = records.agg(F.count("*").alias("total"), *[F.sum(F.when(absent(c), 1).otherwise(0)).alias(f) for f, c in PROFILED.items()])
     rows = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit(0)).cast("long").alias("missing")) for f in PROFILED])
     return one.select("total", F.explode(rows).alias("r")).select("r.field", "r.missing", "total")
 
 
 def markdown(payload: dict) -> str:
-    total = payload["records"] or 1
-    out = ["# Data quality", "", f"- records: {payload['records']}", f"- clusters: {payload['clusters']}", f"- pending review: {payload['manual_review_pending']}", "", "## Missing values", "", "| field | missing | share |", "|---|---|---|"]
-    out += [f"| {f} | {n} | {100 * n / total:.1f}% |" for f, n in payload["missing"].items()]
-    for name in ("sources", "types", "encodings", "tags"):
-        out += ["", f"## {name.capitalize()}", ""] + [f"- {k}: {n}" for k, n in payload[name].items()]
+    """The report as headed lists; shares are given to one decimal."""
+    s = payload["summary"]
+    out = ["# Data quality", "", "## Summary", ""] + [f"- {k.replace('_', ' ')}: {s[k]}" for k in SUMMARY]
+    out += ["", "## Missing values", "", "| field | missing | of | share |", "|---|---|---|---|"]
+    out += [f"| {f} | {v['missing']} | {v['total']} | {100 * v['missing'] / (v['total'] or 1):.1f}% |" for f, v in payload["missing_key_fields"].items()]
+    for head, key in (("Sources", "source_breakdown"), ("Types", "record_type_distribution")):
+        out += ["", f"## {head}", ""] + [f"- {k}: {n}" for k, n in payload[key].items()]
+    out += ["", "## Encodings", ""] + ["- {} by {}: {} files".format(*k.split("|", 1), n) for k, n in payload["encoding_summary"].items()]
+    told = payload["parser_profile_summary"]
+    out += ["", "## Profiles", "", "An encoding given with the command goes before that of the profile, and that before UTF-8.", ""]
+    for name, p in told["profiles"].items():
+        out.append(f"- {name}: {p['format']} from {p['source_name']}, abstract from {' then '.join(p['abstract_tags']) or 'none'}" + (", byte-order marks stripped" if p["strip_bom"] else ""))
+    out += ["", "## Tags", ""] + [f"- {k}: {n}" for k, n in told["observed_raw_tags"].items()]
+    out += ["", "## Stages", ""] + [f"- {k}: `{json.dumps(payload[k + '_metrics'], ensure_ascii=False)}`" for k in ("exact", "fuzzy", "review")]
     return "\n".join(out) + "\n"
 
 

@@ -59,7 +59,10 @@ def merge_edges(told: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFr
 def decided(pairs: DataFrame, told: DataFrame) -> DataFrame:
     """Pairs with the status that their decision gives them."""
     status = F.when(F.col("decision") == "merge", "merged_by_review").when(F.col("decision") == "separate", "separate_by_review").when(F.col("decision") == "skip", "skipped_by_review")
-    return pairs.join(told.select(F.col("pair_id").alias("id"), "decision"), "id", "left").withColumn("status", F.coalesce(status, F.col("status"))).drop("decision")
+    x = pairs.join(told.select(F.col("pair_id").alias("id"), "decision"), "id", "left")
+    if "resolved_at" in x.columns:
+        x = x.withColumn("resolved_at", F.when(status.isNotNull(), F.current_timestamp()).otherwise(F.col("resolved_at")))
+    return x.withColumn("status", F.coalesce(status, F.col("status"))).drop("decision")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -70,5 +73,9 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFr
     return top.select("r.*")
 
 
+# The figures of the stage.
+REVIEW_METRICS = ("reviewed_pairs", "merged_by_review", "separate_by_review", "skipped_by_review", "pending_after_review", "final_clusters_after_review")
+
+
 def counts(told: DataFrame) -> DataFrame:
     return told.groupBy("decision").agg(F.count("*").alias("n"))

@@ -11,6 +11,12 @@ def unseen(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(known.select("file_hash").distinct(), "file_hash", "left_anti").join(known.select("path").distinct(), "path", "left_anti")
 
 
+def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key by ``order``."""
+    columns = rows.columns
+    return rows.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("_r")).select("_r.*")
+
+
 def without(parents: DataFrame, gone: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
     """The tables without the rows of ``gone`` (key) and all that refer to them: name -> (table, its foreign key)."""
     g = gone.select(F.col(key).alias("_gone")).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,12 +111,16 @@ def extract_identifier(spark, d):
 
 @query
 def source_record_id(spark, d):
-    return parsed(spark, d, "ris").select("path", "rec", exports.source_record_id(F.col("fields"), BUILT_IN["standard_ris"]).alias("source_record_id"))
+    """The ids of all texts by every profile of their format."""
+    one = lambda p: exports.parse(texts(spark, d, p.format), p).select(F.lit(p.name).alias("profile"), "path", "rec", exports.source_record_id(F.col("fields"), p).alias("source_record_id"))
+    return reduce(DataFrame.unionByName, map(one, BUILT_IN.values()))
 
 
 @query
 def normalize_record(spark, d):
-    x = exports.normalized(parsed(spark, d, "nbib"), BUILT_IN["pubmed_nbib"])
+    """The records of all texts by every profile of their format."""
+    one = lambda p: exports.normalized(exports.parse(texts(spark, d, p.format), p), p).withColumn("profile", F.lit(p.name))
+    x = reduce(DataFrame.unionByName, map(one, BUILT_IN.values())).drop("source_file")
     return x.withColumns({c: F.array_join(c, "|") for c in ("authors", "author_surnames", "keywords", "warnings")})
 
 
@@ -191,8 +196,8 @@ def exact_clusters(spark, d):
 def exact_metrics(spark, d):
     x = roots(spark, d)
     g = linkage.identifier_groups(bib(spark, d)).agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k + "_groups") for k in linkage.KINDS])
-    m = x.agg(F.count("*").alias("raw_records"), F.countDistinct("root").alias("clusters")).withColumn("merged", F.col("raw_records") - F.col("clusters"))
-    return m.crossJoin(g)  # two rows of one
+    m = x.agg(F.count("*").alias("raw_records"), F.countDistinct("root").alias("exact_clusters")).withColumn("merged_records", F.col("raw_records") - F.col("exact_clusters"))
+    return m.crossJoin(g).select(*linkage.EXACT_METRICS)  # two rows of one
 
 
 @query
@@ -257,19 +262,20 @@ def author_jaccard(spark, d):
 
 
 FLAGS = ("first_author_match", "journal_match", "page_match", "year_diff", "doi_conflict", "pmid_conflict", "type_conflict")
+SCORES = ("title_score", "author_score", "author_overlap", "year_score", "composite_score")
 
 
 @query
 def evaluate_pair(spark, d):
     r = reps(spark, d)
-    return linkage.flags(linkage.with_sides(linkage.candidate_pairs(r), r)).select("left_id", "right_id", *FLAGS)
+    return linkage.evaluated(linkage.flags(linkage.with_sides(linkage.candidate_pairs(r), r))).select("left_id", "right_id", *FLAGS, *SCORES, "recommendation")
 
 
 @query
 def token_set_ratio(spark, d):
     r = reps(spark, d)
     x = linkage.possible(linkage.flags(linkage.with_sides(linkage.candidate_pairs(r), r)))
-    return linkage.evaluated(x).select("left_id", "right_id", F.floor(F.col("title_score") * 100 + 0.5).cast("long").alias("score"))
+    return linkage.evaluated(x).select("left_id", "right_id", "title_score")
 
 
 @query
@@ -288,14 +294,13 @@ def cluster_merge(spark, d):
 
 @query
 def candidate_pairs_final(spark, d):
-    return fuzzy(spark, d)[2].select("pair_key", "left_record_id", "right_record_id", "left_cluster_id", "right_cluster_id", "recommendation", "status")
+    return fuzzy(spark, d)[2].select("pair_key", "left_record_id", "right_record_id", "left_cluster_id", "right_cluster_id", *[c for c in SCORES if c != "year_score"], *FLAGS, F.col("resolved_at").isNotNull().alias("resolved"), "recommendation", "status")
 
 
 @query
 def fuzzy_metrics(spark, d):
     c, _, p = fuzzy(spark, d)
-    n = p.agg(F.count("*").alias("pairs"), F.count(F.when(F.col("status") == "auto_merged", 1)).alias("auto_merged"), F.count(F.when(F.col("status") == "pending", 1)).alias("pending"))
-    return n.crossJoin(c.agg(F.count("*").alias("clusters")))  # two rows of one
+    return linkage.fuzzy_metrics(singles(spark, d)[0], c, p)
 
 
 # ---- review
@@ -344,7 +349,7 @@ def pending_pairs(spark, d):
 @query
 def review_queue(spark, d):
     q = review.queue(pairs(spark, d), bib(spark, d).withColumn("authors", F.array_join(F.coalesce("authors", F.array().cast("array<string>")), "; ")), members(spark, d))
-    return q.drop("title_score", "author_score", "author_overlap", "composite_score")
+    return q
 
 
 # ---- golden records
@@ -420,11 +425,16 @@ def incremental_anti_import(spark, d):
 
 @query
 def cascade_delete(spark, d):
-    """Records left after the files that repeat an earlier file's bytes are gone."""
+    """How much of each file's records, memberships and pairs is left after the files that repeat an earlier file's bytes are gone."""
     f = table(spark, d, "source_files")
     first = f.groupBy("file_hash").agg(F.min("id").alias("id"))
     gone = f.join(first, "id", "left_anti")
-    return state.without(f, gone, "id", {"records": (table(spark, d, "records"), "source_file_id")})["records"].select("id", "source_file_id")
+    records = table(spark, d, "records").select("id", "source_file_id")
+    left = state.without(f, gone, "id", {"records": (records, "source_file_id")})
+    lost = records.join(gone.select(F.col("id").alias("source_file_id")), "source_file_id", "left_semi").select("id")
+    m = state.without(records, lost, "id", {"members": (table(spark, d, "cluster_members").select("cluster_id", "record_id"), "record_id")})["members"]
+    rows = lambda t, a, b: t.select(F.lit(a[0]).alias("name"), F.col(a[1]).alias("id"), F.col(b).alias("parent_id"))
+    return rows(left[""], ("file", "id"), "id").unionByName(rows(left["records"], ("record", "id"), "source_file_id")).unionByName(rows(m, ("member", "record_id"), "cluster_id"))
 
 
 @query

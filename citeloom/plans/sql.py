@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -70,31 +72,50 @@ EXACT = f"with recursive {BIB}, {IDS}, {LINKS}"
 RANK = "case source_db when 'PubMed' then 0 when 'Embase' then 1 when 'WoS' then 2 when 'RIS' then 3 else 4 end"
 SCORE = "coalesce(case when isnan(completeness_score) then 0 else completeness_score end, 0)"
 
+def scored(pairs: str, suffix: str = "") -> str:
+    """The title scores of a table of pairs."""
+    chain = SCORING
+    for name in ("words", "parts", "strs", "lcs", "sized", "scored"):
+        chain = chain.replace(f"{name} as (", f"{name}{suffix} as (").replace(f" from {name})", f" from {name}{suffix})")
+    return chain.replace("from pairs_to_score)", f"from {pairs})")
+
+
+SCORING = """words as (select *, list_distinct(list_filter(string_split(coalesce(lt, ''), ' '), lambda x: x <> '')) x, list_distinct(list_filter(string_split(coalesce(rt, ''), ' '), lambda x: x <> '')) y from pairs_to_score),
+parts as (select *, list_intersect(x, y) i0, list_filter(x, lambda w: not list_contains(y, w)) a0, list_filter(y, lambda w: not list_contains(x, w)) b0 from words),
+strs as (select *, coalesce(array_to_string(list_sort(i0), ' '), '') i, coalesce(array_to_string(list_sort(a0), ' '), '') a, coalesce(array_to_string(list_sort(b0), ' '), '') b from parts),
+lcs as (select *, case when a = '' or b = '' then 0 else list_last(list_reduce(
+  list_prepend(list_transform(range(length(b) + 1), lambda z: 0::bigint), list_transform(string_split(a, ''), lambda ch: [ascii(ch)::bigint])),
+  lambda prev, cw: list_reduce(list_prepend([0::bigint], list_transform(range(1, length(b) + 1), lambda j: [j])),
+    lambda row, jw: list_append(row, case when ascii(b[jw[1]]) = cw[1] then prev[jw[1]] + 1 else greatest(row[len(row)], prev[jw[1] + 1]) end)))) end m from strs),
+sized as (select *, length(i) + (case when i <> '' then 1 else 0 end) + length(a) na, length(i) + (case when i <> '' then 1 else 0 end) + length(b) nb from lcs),
+scored as (select *, case when len(x) = 0 or len(y) = 0 then 0.0 when i <> '' and (a = '' or b = '') then 100.0 else 100.0 * greatest(
+    1.0::double - (length(a) + length(b) - 2 * m)::double / (na + nb), case when i <> '' then 1.0::double - (1 + length(a))::double / (length(i) + na) else 0.0 end, case when i <> '' then 1.0::double - (1 + length(b))::double / (length(i) + nb) else 0.0 end) end t from sized),"""
+SCORED = scored("possible")
+
+
+def rounded(x: str, digits: int = 2) -> str:
+    return f"cast(printf('%.{digits}f', {x}) as double)"
+
+
+COMPOSITE = "t * 0.6::double + (ov * 100.0::double) * 0.15::double + (case when journal_match then 100.0::double else 0.0::double end) * 0.1::double + (case when first_author_match then 100.0::double else 0.0::double end) * 0.05::double + (case when page_match then 100.0::double else 0.0::double end) * 0.05::double + greatest(0.0::double, 100.0::double - 20.0::double * least(year_diff, 5)) * 0.05::double"
+SCORES = f"{rounded('t')} as title_score, {rounded('ov * 100.0::double')} as author_score, {rounded('ov', 4)} as author_overlap, {rounded(COMPOSITE)} as composite_score"
+FLAGS = "first_author_match, journal_match, page_match, year_diff, doi_conflict, pmid_conflict, type_conflict"
+
 REPS = f"""{BIB},
 reps as (select id cluster_id, b.* from bib b),
-keys as (select id, unnest([case when coalesce(title_norm, '') <> '' then 'ty:' || cast(year as varchar) || ':' || left(title_norm, 40) end,
+keys as (select id, unnest([case when coalesce(title_norm, '') <> '' then 'ty:' || coalesce(cast(nullif(year, 0) as varchar), '') || ':' || left(title_norm, 40) end,
     case when coalesce(title_norm, '') <> '' and coalesce(first_author_norm, '') <> '' then 'at:' || first_author_norm || ':' || left(title_norm, 28) end,
-    case when coalesce(journal_norm, '') <> '' and coalesce(volume, '') <> '' and coalesce(start_page, '') <> '' then 'jvp:' || journal_norm || ':' || volume || ':' || start_page end]) k from reps where year is not null),
+    case when coalesce(journal_norm, '') <> '' and coalesce(volume, '') <> '' and coalesce(start_page, '') <> '' then 'jvp:' || journal_norm || ':' || volume || ':' || start_page end]) k from reps),
 cand as (select distinct a.id left_id, b.id right_id from keys a join keys b on a.k = b.k and a.id < b.id),
 sides as (select left_id, right_id, l.title_norm lt, r.title_norm rt, coalesce(l.record_type_category, 'other') lc, coalesce(r.record_type_category, 'other') rc,
     coalesce(len(list_distinct(list_concat(coalesce(l.author_surnames, []), coalesce(r.author_surnames, [])))), 0) nu, coalesce(len(list_intersect(list_distinct(coalesce(l.author_surnames, [])), list_distinct(coalesce(r.author_surnames, [])))), 0) ni,
     coalesce(l.first_author_norm <> '' and l.first_author_norm = r.first_author_norm, false) first_author_match, coalesce(l.journal_norm <> '' and l.journal_norm = r.journal_norm, false) journal_match,
     coalesce(l.page_key <> '' and l.page_key = r.page_key, false) page_match, cast(case when coalesce(l.year, 0) <> 0 and coalesce(r.year, 0) <> 0 then abs(l.year - r.year) else 99 end as int) year_diff,
     l.doi <> '' and r.doi <> '' and l.doi <> r.doi doi_conflict, l.pmid <> '' and r.pmid <> '' and l.pmid <> r.pmid pmid_conflict from cand join reps l on l.id = left_id join reps r on r.id = right_id),
-flagged as (select *, case when nu > 0 then ni / nu else 0.0 end ov, lc <> rc type_conflict from sides),
+flagged as (select *, case when nu > 0 then ni / nu else 0.0::double end ov, lc <> rc type_conflict from sides),
 possible as (select * from flagged where not doi_conflict and not pmid_conflict and lc not in ('correction', 'chapter') and rc not in ('correction', 'chapter') and year_diff <= 1
     and (first_author_match or ov >= 0.4 or journal_match or page_match)),
-words as (select *, list_distinct(list_filter(string_split(coalesce(lt, ''), ' '), lambda x: x <> '')) x, list_distinct(list_filter(string_split(coalesce(rt, ''), ' '), lambda x: x <> '')) y from possible),
-parts as (select *, list_intersect(x, y) i0, list_filter(x, lambda w: not list_contains(y, w)) a0, list_filter(y, lambda w: not list_contains(x, w)) b0 from words),
-strs as (select *, coalesce(array_to_string(list_sort(i0), ' '), '') i, coalesce(array_to_string(list_sort(a0), ' '), '') a, coalesce(array_to_string(list_sort(b0), ' '), '') b from parts),
-lcs as (select *, case when a = '' or b = '' then 0 else list_last(list_reduce(
-  list_prepend(list_transform(range(length(b) + 1), lambda z: 0::bigint), list_transform(string_split(a, ''), lambda ch: [ascii(ch)::bigint])),
-  lambda prev, cw: list_reduce(list_prepend([0::bigint], list_transform(range(1, length(b) + 1), lambda j: [j])),
-    lambda row, jw: list_append(row, case when ascii(b[jw[1]]) = cw[1] then prev[jw[1]] + 1 else greatest(row[len(row)], prev[jw[1] + 1]) end)))) end m from strs),
-sized as (select *, length(i) + (case when i <> '' then 1 else 0 end) + length(a) na, length(i) + (case when i <> '' then 1 else 0 end) + length(b) nb from lcs),
-scored as (select *, case when len(x) = 0 or len(y) = 0 then 0.0 when i <> '' and (a = '' or b = '') then 100.0 else 100.0 * greatest(
-    1.0::double - (length(a) + length(b) - 2 * m)::double / (na + nb), case when i <> '' then 1.0::double - (1 + length(a))::double / (length(i) + na) else 0.0 end, case when i <> '' then 1.0::double - (1 + length(b))::double / (length(i) + nb) else 0.0 end) end t from sized),
-ruled as (select *, case when (lc = 'conference' and rc = 'journal') or (lc = 'journal' and rc = 'conference') then case when t >= 92 and (first_author_match or ov >= 0.4) then 'review' end
+{SCORED}ruled as (select *, case when (lc = 'conference' and rc = 'journal') or (lc = 'journal' and rc = 'conference') then case when t >= 92 and (first_author_match or ov >= 0.4) then 'review' end
     when t >= 98 and (first_author_match or ov >= 0.8) and (journal_match or page_match or ov >= 0.9) then 'auto_merge' when t >= 95 and first_author_match and ov >= 0.5 and (journal_match or page_match) then 'auto_merge'
     when t >= 88 and (first_author_match or ov >= 0.4 or journal_match or page_match) then 'review' when page_match and journal_match and t >= 80 then 'review' end rec from scored)
 """
@@ -107,7 +128,7 @@ cl(v, root) as (select distinct cluster_id, cluster_id from mem union select e.b
 grp as (select m.record_id, g.root g from mem m join (select v, min(root) root from cl group by v) g on g.v = m.cluster_id),
 low as (select record_id, min(record_id) over (partition by g) low from grp),
 merged as (select record_id, dense_rank() over (order by low) cluster_id from low),
-fin as (select least(left_id, right_id) || ':' || greatest(left_id, right_id) pair_key, left_id left_record_id, right_id right_record_id, l.cluster_id left_cluster_id, r.cluster_id right_cluster_id,
+fin as (select least(left_id, right_id) || ':' || greatest(left_id, right_id) pair_key, left_id left_record_id, right_id right_record_id, l.cluster_id left_cluster_id, r.cluster_id right_cluster_id, {SCORES}, {FLAGS},
     case when rec = 'auto_merge' or coalesce(l.cluster_id = r.cluster_id, false) then 'auto_merge' else rec end recommendation from ruled left join merged l on l.record_id = left_id left join merged r on r.record_id = right_id where rec is not null)
 """
 
@@ -130,6 +151,30 @@ def joined(x: str, by: str = "; ") -> str:
     return f"coalesce(array_to_string(list_filter({x}, lambda v: v is not null), '{by}'), '')"
 
 
+#: The words of the usual generator for the seed of the samples, from which ordinals are drawn below.
+WORDS = [g.getrandbits(32) for g in [random.Random(11)] for _ in range(400)]
+BITS = lambda m: f"length(ltrim(bin(cast({m} as bigint)), '0'))"
+# a small table is drawn from a pool that loses what was drawn, a large one until enough different ordinals are met
+DRAWN = f"""with recursive ranked as (select *, row_number() over (order by id) - 1 k from records), size as (select count(*) n, count(*) <= 277 pool from records), words as (select {WORDS} w),
+d(i, m, picks, left_over) as (select 1, n, []::bigint[], case when pool then range(n) else []::bigint[] end from size
+  union all select i + 1, case when ok and pool then m - 1 else m end, case when ok then list_append(picks, pick) else picks end,
+    case when ok and pool then list_concat(list_concat(left_over[:v], [left_over[m]]), left_over[v + 2:m])[:m - 1] else left_over end
+  from (select *, case when v >= m then false when pool then true else not list_contains(picks, v) end ok, case when pool then left_over[v + 1] else v end pick
+    from (select d.*, pool, w[i] >> (32 - {BITS('m')}) v from d, size, words where len(picks) < 25 and i <= 400))),
+picked as (select unnest(p) o, generate_subscripts(p, 1) - 1 draw from (select picks p from d where len(picks) = 25 limit 1))
+"""
+
+
+def source_ids(profile: str, tags: tuple[str, ...]) -> str:
+    """The first value of the first id tag that is there, else a digest of the fields as JSON in ASCII."""
+    code = "case when c in (chr(34), chr(92)) then chr(92) || c when c = chr(9) then chr(92) || 't' when unicode(c) between 32 and 126 then c when unicode(c) < 65536 then printf('%cu%04x', 92, unicode(c)) else printf('%cu%04x%cu%04x', 92, 55296 + ((unicode(c) - 65536) >> 10), 92, 56320 + ((unicode(c) - 65536) & 1023)) end"
+    order = " ".join(f"when '{t}' then {i}" for i, t in enumerate(tags))
+    listed = ", ".join(f"'{t}'" for t in tags)
+    return f"""select '{profile}' as profile, path, cast(rec as int) as rec, case when bool_or(first is not null) then max(first) else 'generated:' || sha1('{{' || string_agg(field, ', ' order by tag) || '}}') end as source_record_id
+      from (select path, rec, tag, '"' || tag || '": [' || string_agg('"' || array_to_string(list_transform(list_filter(string_split(value, ''), lambda c: c <> ''), lambda c: {code}), '') || '"', ', ' order by position) || ']' field,
+        case when tag in ({listed}) and row_number() over (partition by path, rec order by case tag {order} else 99 end) = 1 then arg_min(value, position) end first from entries group by path, rec, tag) group by path, rec"""
+
+
 ORACLES: dict[str, str] = {
     "content_hash": "select doc_id, sha256(text) as file_hash from documents",
     "text_line_normalize": f"select doc_id, case when text is not null then {LINES} end as text from documents",
@@ -140,7 +185,7 @@ ORACLES: dict[str, str] = {
     "ris_parse_records": f"with {RIS} select path, cast(rec as int) as rec, cast(count(*) as int) as n_entries, bool_and(tag <> 'ER') and rec = max(rec) over (partition by path) as unfinished from entries group by path, rec",
     "nbib_parse_records": f"with {NBIB} select path, cast(rec as int) as rec, cast(count(*) as int) as n_entries from entries group by path, rec",
     "raw_fields_explode": both("select tag, count(*) as n, count(distinct value) as n_values from entries group by tag"),
-    "observed_raw_tags": both("select tag, count(*) as n from entries where tag in ('AB', 'N2', 'TI', 'T1', 'AU', 'FAU', 'A1', 'DO', 'LID', 'AID', 'PMID', 'KW') group by tag"),
+    "observed_raw_tags": both("select tag, count(*) as n from entries where tag in ('AB', 'N2', 'PMID', 'DO', 'AID', 'LID', 'T1', 'TI', 'A1', 'AU', 'Y1', 'PY') group by tag"),
     "first_non_empty": f"with {RIS}, k as (select distinct path, rec from entries) select path, cast(rec as int) as rec, coalesce((select arg_min(value, case tag when 'TI' then 0 else 1000000 end + position) from entries e2 where e2.path = k.path and e2.rec = k.rec and e2.tag in ('TI', 'T1') and value <> ''), '') as title from k",
     "all_values": f"with {NBIB} select path, cast(rec as int) as rec, coalesce(string_agg(value, '|' order by case tag when 'AU' then 0 else 1 end, position) filter (where tag in ('AU', 'FAU') and value <> ''), '') as authors from entries group by path, rec",
     "extract_identifier": rf"""with {NBIB}, ids as (select path, rec, position, tag, case tag when 'PMID' then regexp_replace(value, '[^\p{{Nd}}]', '', 'g') else lower(regexp_replace(regexp_extract(value, '(?i)(10\.[0-9]{{4,9}}/[-._;()/:A-Z0-9]+)', 1), '[.;,)]+$', '')) end v from entries)
@@ -156,7 +201,7 @@ ORACLES: dict[str, str] = {
     "completeness_score": f"with {BIB} select id, cast((doi <> '')::int * 10 + (pmid <> '')::int * 10 + (pmcid <> '')::int * 8 + (coalesce(title, '') <> '')::int * 6 + (year is not null)::int * 5 + (coalesce(len(author_surnames), 0) > 0)::int * 5 + (coalesce(abstract, '') <> '')::int * 4 + (coalesce(journal, '') <> '')::int * 3 + (coalesce(start_page, '') <> '' or coalesce(end_page, '') <> '')::int * 2 + (coalesce(url, '') <> '')::int as double) as score from bib",
     "identifier_groups": f"with {BIB}, {IDS} select kind, value, count(*) as n, min(id) as first_id from ids group by kind, value having count(*) > 1",
     "exact_clusters": f"{EXACT} select id, root from roots",
-    "exact_metrics": f"{EXACT}, g as (select kind from ids group by kind, value having count(*) > 1) select count(*) as raw_records, count(distinct root) as clusters, count(*) - count(distinct root) as merged, (select count(*) from g where kind = 'pmid') as pmid_groups, (select count(*) from g where kind = 'doi') as doi_groups, (select count(*) from g where kind = 'pmcid') as pmcid_groups from roots",
+    "exact_metrics": f"{EXACT}, g as (select kind from ids group by kind, value having count(*) > 1) select count(*) as raw_records, count(distinct root) as exact_clusters, count(*) - count(distinct root) as merged_records, (select count(*) from g where kind = 'pmid') as pmid_groups, (select count(*) from g where kind = 'doi') as doi_groups, (select count(*) from g where kind = 'pmcid') as pmcid_groups from roots",
     "canonical_record": f"{EXACT}, o as (select root, id, row_number() over (partition by root order by {SCORE} desc, {RANK}, id) rn, count(*) over (partition by root) n from roots join records using (id)) select root, id as canonical_record_id, n from o where rn = 1",
     "rebuild_cluster_ids": f"{EXACT} select row_number() over (order by root) as cluster_id, root from (select distinct root from roots)",
     "cluster_members_list": "select cluster_id, string_agg(cast(record_id as varchar), ',' order by record_id) as members from (select distinct cluster_id, record_id from cluster_members) group by cluster_id",
@@ -164,12 +209,12 @@ ORACLES: dict[str, str] = {
     "cluster_representatives": f"with {BIB} select c.cluster_id, b.id, b.title_norm, b.year from clusters c join bib b on b.id = c.canonical_record_id where c.status = 'active'",
     "candidate_pairs": f"{WITH_REPS} select left_id, right_id, left_id || ':' || right_id as pair_key from cand",
     "author_jaccard": f"{WITH_REPS} select left_id, right_id, cast(floor(ov * 10000 + 0.5) as bigint) as overlap from flagged",
-    "evaluate_pair": f"{WITH_REPS} select left_id, right_id, first_author_match, journal_match, page_match, year_diff, doi_conflict, pmid_conflict, type_conflict from flagged",
-    "token_set_ratio": f"{WITH_REPS} select left_id, right_id, cast(floor(t * 100 + 0.5) as bigint) as score from scored",
+    "evaluate_pair": f"{WITH_REPS}, {scored('flagged', '_all')} select s.left_id, s.right_id, {', '.join('s.' + c for c in FLAGS.split(', '))}, {SCORES}, greatest(0.0::double, 100.0::double - 20.0::double * least(year_diff, 5)) as year_score, r.rec as recommendation from scored_all s left join (select left_id, right_id, rec from ruled) r on r.left_id = s.left_id and r.right_id = s.right_id",
+    "token_set_ratio": f"{WITH_REPS} select left_id, right_id, {rounded('t')} as title_score from scored",
     "recommendation": f"{WITH_REPS} select left_id, right_id, rec as recommendation from ruled where rec is not null",
     "cluster_merge": f"{FUZZY} select cluster_id, record_id from merged where record_id in (select id from records)",
-    "candidate_pairs_final": f"{FUZZY} select pair_key, left_record_id, right_record_id, left_cluster_id, right_cluster_id, recommendation, case recommendation when 'auto_merge' then 'auto_merged' else 'pending' end as status from fin",
-    "fuzzy_metrics": f"{FUZZY} select count(*) as pairs, count(*) filter (where recommendation = 'auto_merge') as auto_merged, count(*) filter (where recommendation <> 'auto_merge') as pending, (select count(distinct cluster_id) from merged) as clusters from fin",
+    "candidate_pairs_final": f"{FUZZY} select pair_key, left_record_id, right_record_id, left_cluster_id, right_cluster_id, title_score, author_score, author_overlap, composite_score, {FLAGS}, recommendation = 'auto_merge' as resolved, recommendation, case recommendation when 'auto_merge' then 'auto_merged' else 'pending' end as status from fin",
+    "fuzzy_metrics": f"{FUZZY} select (select count(*) from records) as pre_fuzzy_clusters, count(*) filter (where recommendation = 'auto_merge') as auto_merge_pairs, count(*) filter (where recommendation <> 'auto_merge') as manual_review_pending, (select count(distinct cluster_id) from merged) as post_fuzzy_clusters from fin",
     "review_decisions": f"with {TOLD} select pair_id, decision from told",
     "review_upsert": r"with p as (select regexp_replace(pair_key, '\s', '', 'g') pair_key, id, status from candidate_pairs where pair_key is not null), o as (select *, row_number() over (partition by pair_key order by case when status in ('pending', 'auto_merged') then 0 else 1 end desc, id desc) rn from p) select pair_key, id, status from o where rn = 1",
     "review_merge_edges": f"with {TOLD}, {PAIRS}, {MEMBERS} select distinct least(l.cluster_id, r.cluster_id) as src, greatest(l.cluster_id, r.cluster_id) as dst from told join pairs p on p.id = told.pair_id join mem l on l.record_id = p.left_record_id join mem r on r.record_id = p.right_record_id where decision = 'merge' and l.cluster_id <> r.cluster_id",
@@ -178,7 +223,7 @@ ORACLES: dict[str, str] = {
     "review_queue": f"""{APART} select p.id as pair_id, least(left_record_id, right_record_id) || ':' || greatest(left_record_id, right_record_id) as pair_key, left_record_id, right_record_id, lcl as left_cluster_id, rcl as right_cluster_id,
       coalesce(l.title, '') as left_title, coalesce(r.title, '') as right_title, coalesce(cast(l.year as varchar), '') as left_year, coalesce(cast(r.year as varchar), '') as right_year, {joined("l.authors")} as left_authors, {joined("r.authors")} as right_authors,
       coalesce(l.journal, '') as left_journal, coalesce(r.journal, '') as right_journal, l.doi as left_doi, r.doi as right_doi, l.pmid as left_pmid, r.pmid as right_pmid, coalesce(l.source_db, '') as left_source_db, coalesce(r.source_db, '') as right_source_db,
-      recommendation, '' as decision, '' as preferred_keeper, '' as notes from apart p join bib l on l.id = p.left_record_id join bib r on r.id = p.right_record_id""",
+      p.title_score, p.author_score, p.author_overlap, p.composite_score, recommendation, '' as decision, '' as preferred_keeper, '' as notes from apart p join bib l on l.id = p.left_record_id join bib r on r.id = p.right_record_id""",
     "cluster_consolidated": f"{GOLD} select o.cluster_id, o.canon as canonical_record_id, o.title, f.abstract, f.journal, f.doi, f.pmid, f.url, f.source_members, cast(f.member_count as int) as member_count from own o join fill f using (cluster_id)",
     "keyword_union": f"""{GOLD}, kw as (select cluster_id, id, unnest(keywords) k, generate_subscripts(keywords, 1) pos from x), lw as (select *, lower({strip("k")}) low from kw),
       first as (select *, row_number() over (partition by cluster_id, low order by id, pos) rn from lw where low <> ''), u as (select cluster_id, string_agg(k, '|' order by id, pos) keywords from first where rn = 1 group by cluster_id)
@@ -193,11 +238,17 @@ ORACLES: dict[str, str] = {
     "source_breakdown": "select source_db, count(*) as n from records group by source_db",
     "record_type_distribution": "select coalesce(record_type_category, 'other') as record_type_category, count(*) as n from records group by 1",
     "encoding_summary": "select coalesce(encoding_used, 'unknown') || '|' || coalesce(encoding_source, 'unknown') as encoding, count(*) as n from source_files group by 1",
-    "encoding_by_file": "select id, path, profile_name, coalesce(encoding_used, '') as encoding_used, coalesce(encoding_source, '') as encoding_source from source_files",
-    "missing_key_fields": f"""with {BIB} select unnest(['title', 'abstract', 'authors', 'journal', 'year', 'doi', 'pmid', 'keywords']) as field, unnest([count(*) filter (where coalesce(title, '') = ''), count(*) filter (where coalesce(abstract, '') = ''), count(*) filter (where coalesce(len(authors), 0) = 0),
-      count(*) filter (where coalesce(journal, '') = ''), count(*) filter (where coalesce(year, 0) = 0), count(*) filter (where doi = ''), count(*) filter (where pmid = ''), count(*) filter (where coalesce(len(keywords), 0) = 0)]) as missing, count(*) as total from bib""",
+    "encoding_by_file": "select id, path, profile_name, coalesce(encoding_used, '') as encoding_used, coalesce(encoding_source, '') as encoding_source, record_count from source_files",
+    "missing_key_fields": f"""with {BIB} select unnest(['title', 'authors', 'year', 'abstract', 'doi', 'pmid', 'journal', 'pages']) as field, unnest([count(*) filter (where coalesce(title, '') = ''), count(*) filter (where coalesce(len(authors), 0) = 0), count(*) filter (where coalesce(year, 0) = 0),
+      count(*) filter (where coalesce(abstract, '') = ''), count(*) filter (where doi = ''), count(*) filter (where pmid = ''), count(*) filter (where coalesce(journal, '') = ''), count(*) filter (where coalesce(start_page, '') = '')]) as missing, count(*) as total from bib""",
     "incremental_anti_import": "with f as (select *, imported_at < timestamptz '2024-01-01 00:00:00+00' old from source_files) select id, path from f where not old and file_hash not in (select file_hash from f where old) and path not in (select path from f where old)",
-    "cascade_delete": "select id, source_file_id from records where source_file_id not in (select id from source_files f where exists (select 1 from source_files g where g.file_hash = f.file_hash and g.id < f.id))",
+    "cascade_delete": """with f as (select id from source_files f where not exists (select 1 from source_files g where g.file_hash = f.file_hash and g.id < f.id)), r as (select id, source_file_id from records where source_file_id not in (select id from source_files) or source_file_id in (select id from f) or source_file_id is null)
+      select 'file' as name, id, id as parent_id from f union all select 'record', id, source_file_id from r union all select 'member', record_id, cluster_id from cluster_members where record_id in (select id from r) or record_id not in (select id from records)""",
+    "exact_edges": f"""with {BIB}, {IDS}, x as (select * from ids where cat not in ('correction', 'chapter')), y as (select *, bool_or(cat not in ('conference', 'journal')) over k bridged, min(id) over k low, min(id) over (partition by kind, value, cat) own from x window k as (partition by kind, value))
+      select distinct case when bridged then low else own end as src, id as dst from y where id <> case when bridged then low else own end""",
+    "sample_records": f"{DRAWN} select r.id, r.title, cast(p.draw as int) as draw from picked p join ranked r on r.k = p.o",
+    "sample_render": f"{DRAWN} select string_agg({strip("coalesce(r.abstract, '')")}, chr(10) || chr(10) order by p.draw) || chr(10) as text from picked p join ranked r on r.k = p.o",
+    "source_record_id": " union all ".join(f"(with {(RIS if f == 'ris' else NBIB)} {source_ids(name, tags)})" for name, f, tags in (("pubmed_nbib", "nbib", ("PMID",)), ("standard_ris", "ris", ("DO", "PM", "PMID", "N1")), ("embase_ris", "ris", ("U2", "C5", "DO")), ("wos_ris", "ris", ("AN", "UT", "DO")))),
     "stage_metrics_upsert": "select user_id, arg_max(event_id, event_id) as event_id, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value from events group by user_id",
     "stream_import": f"with {RIS} select tag, count(*) as n from entries group by tag",
 }

@@ -31,77 +31,81 @@ class Profile:
         return self.fields.get(name, [])
 
 
-def _fields(text: str) -> dict[str, list[str]]:
-    return {k: v.split() for k, _, v in (line.strip().partition(": ") for line in text.strip().splitlines()) if k}
-
-
 # The tags of each export format by field, in the order they are tried.
 BUILT_IN = {
     "pubmed_nbib": Profile(
         "pubmed_nbib", "nbib", "PubMed", "PMID",
-        fields=_fields("""record_type: PT
-            title: TI
-            abstract: AB
-            authors: AU FAU
-            journal: JT TA
-            year: DP
-            volume: VI
-            issue: IP
-            pages: PG
-            keywords: OT MH
-            language: LA"""),
-        ids=_fields("doi: AID LID\npmid: PMID\npmcid: PMC PMCID"), id_tags=["PMID"],
+        fields={
+            "record_type": ["PT"],
+            "title": ["TI"],
+            "abstract": ["AB"],
+            "authors": ["AU", "FAU"],
+            "journal": ["JT", "TA"],
+            "year": ["DP"],
+            "volume": ["VI"],
+            "issue": ["IP"],
+            "pages": ["PG"],
+            "keywords": ["OT", "MH"],
+            "language": ["LA"],
+        },
+        ids={"doi": ["AID", "LID"], "pmid": ["PMID"], "pmcid": ["PMC", "PMCID"]}, id_tags=["PMID"],
     ),
     "standard_ris": Profile(
         "standard_ris", "ris", "RIS", "TY", "ER",
-        fields=_fields("""record_type: TY
-            title: TI T1
-            abstract: AB N2
-            authors: AU A1
-            journal: T2 JF JO
-            year: PY Y1
-            volume: VL
-            issue: IS
-            start_page: SP
-            end_page: EP
-            keywords: KW
-            language: LA
-            url: UR"""),
-        ids=_fields("doi: DO\npmid: PM PMID\npmcid: PMC PMCID"), id_tags=["DO", "PM", "PMID", "N1"],
+        fields={
+            "record_type": ["TY"],
+            "title": ["TI", "T1"],
+            "abstract": ["AB", "N2"],
+            "authors": ["AU", "A1"],
+            "journal": ["T2", "JF", "JO"],
+            "year": ["PY", "Y1"],
+            "volume": ["VL"],
+            "issue": ["IS"],
+            "start_page": ["SP"],
+            "end_page": ["EP"],
+            "keywords": ["KW"],
+            "language": ["LA"],
+            "url": ["UR"],
+        },
+        ids={"doi": ["DO"], "pmid": ["PM", "PMID"], "pmcid": ["PMC", "PMCID"]}, id_tags=["DO", "PM", "PMID", "N1"],
     ),
     "embase_ris": Profile(
         "embase_ris", "ris", "Embase", "TY", "ER",
-        fields=_fields("""record_type: M3 TY
-            title: T1 TI
-            abstract: N2 AB
-            authors: A1 AU
-            journal: JF JO T2
-            year: Y1 PY
-            volume: VL
-            issue: IS
-            start_page: SP
-            end_page: EP
-            keywords: KW
-            language: LA
-            url: UR L2"""),
-        ids=_fields("doi: DO L2\npmid: C5"), id_tags=["U2", "C5", "DO"],
+        fields={
+            "record_type": ["M3", "TY"],
+            "title": ["T1", "TI"],
+            "abstract": ["N2", "AB"],
+            "authors": ["A1", "AU"],
+            "journal": ["JF", "JO", "T2"],
+            "year": ["Y1", "PY"],
+            "volume": ["VL"],
+            "issue": ["IS"],
+            "start_page": ["SP"],
+            "end_page": ["EP"],
+            "keywords": ["KW"],
+            "language": ["LA"],
+            "url": ["UR", "L2"],
+        },
+        ids={"doi": ["DO", "L2"], "pmid": ["C5"]}, id_tags=["U2", "C5", "DO"],
     ),
     "wos_ris": Profile(
         "wos_ris", "ris", "WoS", "TY", "ER", strip_bom=True,
-        fields=_fields("""record_type: TY
-            title: TI T1
-            abstract: AB N2
-            authors: AU A1
-            journal: T2 JO JF
-            year: PY Y1 C6
-            volume: VL
-            issue: IS
-            start_page: SP C7
-            end_page: EP
-            keywords: KW DE ID
-            language: LA
-            url: UR"""),
-        ids=_fields("doi: DO\npmid: PM PMID"), id_tags=["AN", "UT", "DO"],
+        fields={
+            "record_type": ["TY"],
+            "title": ["TI", "T1"],
+            "abstract": ["AB", "N2"],
+            "authors": ["AU", "A1"],
+            "journal": ["T2", "JO", "JF"],
+            "year": ["PY", "Y1", "C6"],
+            "volume": ["VL"],
+            "issue": ["IS"],
+            "start_page": ["SP", "C7"],
+            "end_page": ["EP"],
+            "keywords": ["KW", "DE", "ID"],
+            "language": ["LA"],
+            "url": ["UR"],
+        },
+        ids={"doi": ["DO"], "pmid": ["PM", "PMID"]}, id_tags=["AN", "UT", "DO"],
     ),
 }
 
@@ -144,6 +148,13 @@ def infer_profile_column(path: Column) -> Column:
     return F.when(low.endswith(".nbib"), "pubmed_nbib").when(low.endswith(".ris"), ris)
 
 
+def profile_summary(settings: Settings | None = None) -> dict:
+    """What the report and the list of profiles tell about each profile."""
+    s = settings or Settings()
+    of = lambda p: {"format": p.format, "source_name": p.source_name, "encoding": p.encoding, **{k + "_tags": p.tags(f) for k, f in (("abstract", "abstract"), ("title", "title"), ("author", "authors"), ("year", "year"))}, "strip_bom": p.strip_bom}
+    return {"source_priority": list(s.source_priority), "profiles": {n: of(p) for n, p in s.profiles.items()}}
+
+
 def profile_table(spark: SparkSession, settings: Settings | None = None) -> DataFrame:
-    rows = [(p.name, p.format, p.source_name, p.start_tag, p.end_tag or "", p.strip_bom, p.encoding or "", ",".join(p.id_tags)) for _, p in sorted((settings or Settings()).profiles.items())]
-    return spark.createDataFrame(rows, "name string, format string, source_name string, start_tag string, end_tag string, strip_bom boolean, encoding string, id_tags string")
+    rows = [(n, p["format"], p["source_name"], p["encoding"] or "", *(",".join(p[k + "_tags"]) for k in ("abstract", "title", "author", "year")), p["strip_bom"]) for n, p in sorted(profile_summary(settings)["profiles"].items())]
+    return spark.createDataFrame(rows, "name string, format string, source_name string, encoding string, abstract_tags string, title_tags string, author_tags string, year_tags string, strip_bom boolean")

@@ -9,15 +9,17 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.operators import golden, linkage, report, review, sampling
+from citeloom.operators import golden, linkage, report, review, sampling, state
+from citeloom.session import forget, settle
 from citeloom.sources import exports
-from citeloom.sources.profiles import Settings, infer_profile, load_settings, save_settings
+from citeloom.sources.profiles import Settings, infer_profile, load_settings, profile_summary, save_settings
 
 SCHEMAS = {
     "source_files": "id long, path string, format string, profile_name string, file_hash string, imported_at timestamp, encoding_used string, encoding_source string, record_count long",
@@ -25,7 +27,7 @@ SCHEMAS = {
     "record_fields_raw": "record_id long, position int, tag string, value string",
     "clusters": "cluster_id long, canonical_record_id long, stage string, status string",
     "cluster_members": "cluster_id long, record_id long, merged_stage string",
-    "candidate_pairs": "id long, pair_key string, left_record_id long, right_record_id long, left_cluster_id long, right_cluster_id long, title_score double, author_score double, author_overlap double, first_author_match boolean, journal_match boolean, year_diff int, page_match boolean, doi_conflict boolean, pmid_conflict boolean, type_conflict boolean, composite_score double, recommendation string, status string",
+    "candidate_pairs": "id long, pair_key string, left_record_id long, right_record_id long, left_cluster_id long, right_cluster_id long, title_score double, author_score double, author_overlap double, first_author_match boolean, journal_match boolean, year_diff int, page_match boolean, doi_conflict boolean, pmid_conflict boolean, type_conflict boolean, composite_score double, recommendation string, status string, created_at timestamp, resolved_at timestamp",
     "manual_reviews": "pair_id long, pair_key string, left_record_id long, right_record_id long, decision string, preferred_keeper_record_id long, notes string, decided_at timestamp",
     "stage_metrics": "stage string, payload_json string, updated_at timestamp",
 }
@@ -78,94 +80,75 @@ class Workspace:
     # ---- commands
 
     def ingest(self, paths: list[str | Path], profile: str | None = None, encoding: str | None = None, force: bool = False) -> dict:
-        """Imports files whose path and content are new (all of them with ``force``); clears the results of later stages."""
-        paths = [str(Path(p).resolve()) for p in paths]
-        by: dict[str, list[str]] = {}
-        for p in paths:
-            by.setdefault(profile or infer_profile(p), []).append(p)
+        """Imports files whose path and content are new (all of them with ``force``); clears the results of later stages.
+
+        What the driver holds is as long as ``paths``; the stored files are met by joins.
+        """
+        paths = list(dict.fromkeys(str(Path(p).resolve()) for p in paths))
+        told = [(p, i, profile or infer_profile(p)) for i, p in enumerate(paths)]
         old_files, old_records, old_raw = (self.table(t) for t in ("source_files", "records", "record_fields_raw"))
-        known = {(r["path"], r["file_hash"]) for r in old_files.select("path", "file_hash").collect()}  # one row a file
         next_file, next_record = ((t.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]) for t in (old_files, old_records))
-        imported, skipped, gone, order = 0, 0, set(), []
+        asked = self.spark.createDataFrame(told, "path string, place long, profile_name string")
+        files = settle(asked.join(exports.read_files(self.spark, paths).select("path", "file_hash"), "path"), "asked") if paths else asked.withColumn("file_hash", F.lit(""))
+        fresh = files if force else state.first_of(state.unseen(files, old_files), "file_hash", "place")
+        fresh = settle(fresh, "fresh")
+        order = [(r["path"], r["profile_name"]) for r in fresh.orderBy("place").select("path", "profile_name").collect()]
+        if not order:
+            return {"imported": 0, "skipped": len(paths), "records": 0}
         parts: list[DataFrame] = []
-        for name, group in by.items():
+        for name in dict.fromkeys(n for _, n in order):
             prof = self.settings.profiles[name]
-            files = exports.read_files(self.spark, group)
-            hashes = {r["path"]: r["file_hash"] for r in files.select("path", "file_hash").collect()}
-            fresh = []
-            for p in group:
-                same_path, same_hash = any(k[0] == p for k in known), any(k[1] == hashes[p] for k in known)
-                if (same_path or same_hash) and not force:
-                    skipped += 1
-                    continue
-                if same_path:
-                    gone.add(p)
-                known.add((p, hashes[p]))
-                fresh.append(p)
-                order.append(p)
-            if fresh:
-                text = exports.decoded(files.filter(F.col("path").isin(fresh)), prof, encoding)
-                recs = exports.parse(text, prof)
-                meta = text.select("path", "file_hash", "encoding_used", "encoding_source").withColumns({"format": F.lit(prof.format), "profile_name": F.lit(name)})
-                rows = exports.normalized(recs, prof).drop("path").withColumn("path", F.col("source_file"))
-                parts.append(rows.join(recs.select("path", "rec", "first_position", "entries"), ["path", "rec"]).join(meta, "path"))
-                imported += len(fresh)
-        if not parts:
-            return {"imported": 0, "skipped": skipped, "records": 0}
-        everything = parts[0]
-        for p in parts[1:]:
-            everything = everything.unionByName(p)
-        from citeloom.session import settle
-
-        everything = settle(everything, "import")
+            text = exports.decoded(exports.read_files(self.spark, [p for p, n in order if n == name]), prof, encoding)
+            recs = exports.parse(text, prof)
+            meta = text.select("path", "encoding_used", "encoding_source").withColumns({"format": F.lit(prof.format)})
+            rows = exports.normalized(recs, prof).drop("path").withColumn("path", F.col("source_file"))
+            parts.append(rows.join(recs.select("path", "rec", "first_position", "entries"), ["path", "rec"]).join(meta, "path"))
+        everything = settle(reduce(DataFrame.unionByName, parts), "import")
         twice = exports.repeated_ids(everything).first()
         if twice:
             raise ValueError(f"{twice['path']}: record id {twice['source_record_id']} is used {twice['n']} times")
-        ids = self.spark.createDataFrame([(p, next_file + 1 + i) for i, p in enumerate(order)], "path string, file_id long")
-        counts = everything.groupBy("path").agg(F.count("*").alias("record_count"))
-        meta = everything.select("path", "file_hash", "format", "profile_name", "encoding_used", "encoding_source").distinct()
-        new_files = ids.join(meta, "path", "left").join(counts, "path", "left").select(F.col("file_id").alias("id"), "path", "format", "profile_name", "file_hash", F.current_timestamp().alias("imported_at"), "encoding_used", "encoding_source", F.coalesce("record_count", F.lit(0)).alias("record_count"))
-        sizes = {r["path"]: r["record_count"] for r in counts.collect()}
-        before, total = [], next_record
-        for p in order:
-            before.append((p, total))
-            total += sizes.get(p, 0)
-        first = self.spark.createDataFrame(before, "path string, before long")
-        numbered = everything.join(F.broadcast(ids), "path").join(F.broadcast(first), "path").withColumns({"id": F.col("before") + F.col("rec"), "source_file_id": F.col("file_id"), "created_at": F.current_timestamp()})
+        counts = everything.groupBy("path").agg(F.count("*").alias("record_count"), *[F.first(c).alias(c) for c in ("format", "encoding_used", "encoding_source")])
+        w = Window.orderBy("place")  # one row a file of this import
+        ids = fresh.join(counts, "path", "left").withColumn("record_count", F.coalesce("record_count", F.lit(0)))
+        ids = ids.withColumns({"id": F.row_number().over(w) + F.lit(next_file), "before": F.sum("record_count").over(w) - F.col("record_count") + F.lit(next_record)})
+        ids = settle(ids, "ids")
+        new_files = ids.withColumn("imported_at", F.current_timestamp()).select([f.name for f in T._parse_datatype_string(SCHEMAS["source_files"]).fields])
+        known = ids.select("path", F.col("id").alias("source_file_id"), "before")
+        numbered = everything.join(known, "path").withColumns({"id": F.col("before") + F.col("rec"), "created_at": F.current_timestamp()})
         raw = numbered.select(F.col("id").alias("record_id"), "first_position", F.posexplode("entries").alias("k", "e")).select("record_id", (F.col("first_position") + F.col("k")).alias("position"), "e.tag", "e.value")
-        if gone:
-            dropped = old_files.filter(F.col("path").isin(*gone)).select(F.col("id").alias("source_file_id"))
-            lost = old_records.join(dropped, "source_file_id", "left_semi").select(F.col("id").alias("record_id"))
-            old_raw = old_raw.join(lost, "record_id", "left_anti")
-            old_records = old_records.join(dropped, "source_file_id", "left_anti")
-            old_files = old_files.filter(~F.col("path").isin(*gone))
+        if force:
+            gone = old_files.join(fresh.select("path"), "path", "left_semi").select("id")
+            lost = old_records.join(gone.select(F.col("id").alias("source_file_id")), "source_file_id", "left_semi").select("id")
+            left = state.without(old_files, gone, "id", {"records": (old_records, "source_file_id")})
+            old_raw = state.without(old_records, lost, "id", {"raw": (old_raw, "record_id")})["raw"]
+            old_files, old_records = left[""], left["records"]
         keep = [f.name for f in T._parse_datatype_string(SCHEMAS["records"]).fields]
         self.store({"source_files": old_files.unionByName(new_files), "records": old_records.unionByName(numbered.select(*keep)), "record_fields_raw": old_raw.unionByName(raw), **dict.fromkeys(AFTER_IMPORT)})
-        return {"imported": imported, "skipped": skipped, "records": total - next_record}
+        total = ids.agg(F.sum("record_count")).first()[0]
+        forget(files, fresh, everything, ids)
+        return {"imported": len(order), "skipped": len(paths) - len(order), "records": total}
 
     def dedup_exact(self) -> dict:
         records = self.table("records")
+        payload = dict.fromkeys(linkage.EXACT_METRICS, 0)
         raw = records.count()
-        groups = {k + "_groups": 0 for k in linkage.KINDS}
         if not raw:
-            return {"raw_records": 0, "clusters": 0, "merged_records": 0, **groups}
+            return payload
         clusters, members = linkage.rebuilt_clusters(records, linkage.exact_clusters(records), "exact")
-        groups |= {r["kind"] + "_groups": r["n"] for r in linkage.identifier_groups(records).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        payload |= {r["kind"] + "_groups": r["n"] for r in linkage.identifier_groups(records).groupBy("kind").agg(F.count("*").alias("n")).collect()}
         self.store({"clusters": clusters, "cluster_members": members})
         n = self.table("clusters").count()
-        payload = {"raw_records": raw, "clusters": n, "merged_records": raw - n, **groups}
+        payload |= {"raw_records": raw, "exact_clusters": n, "merged_records": raw - n}
         self.store({"stage_metrics": self._metrics("exact", payload)})
         return payload
 
     def dedup_fuzzy(self) -> dict:
-        records = self.table("records")
-        c, m, p = linkage.fuzzy(records, self.table("clusters"), self.table("cluster_members"))
+        records, before = self.table("records"), self.table("clusters")
+        c, m, p = linkage.fuzzy(records, before, self.table("cluster_members"))
         order = [F.col("status") == "pending", F.col("left_record_id"), F.col("right_record_id")]
         ids = linkage.numbered_rows(p, order)
         self.store({"clusters": c, "cluster_members": m, "candidate_pairs": ids, "manual_reviews": None})
-        pairs = self.table("candidate_pairs")
-        n = {r["status"]: r["n"] for r in pairs.groupBy("status").agg(F.count("*").alias("n")).collect()}
-        payload = {"candidate_pairs": sum(n.values()), "auto_merged": n.get("auto_merged", 0), "pending_review": n.get("pending", 0), "clusters": self.table("clusters").count()}
+        payload = linkage.fuzzy_metrics(before, self.table("clusters"), self.table("candidate_pairs")).first().asDict()
         self.store({"stage_metrics": self._metrics("fuzzy", payload)})
         return payload
 
@@ -204,7 +187,8 @@ class Workspace:
         new = both.select("pair_id", "pair_key", "left_record_id", "right_record_id", "decision", F.col("keeper").alias("preferred_keeper_record_id"), notes.alias("notes"), F.current_timestamp().alias("decided_at"))
         counts = {r["decision"]: r["n"] for r in review.counts(told).collect()}
         self.store({"clusters": c, "cluster_members": m, "candidate_pairs": review.decided(pairs, told), "manual_reviews": review.upsert(self.table("manual_reviews"), new, ["pair_id"], "decided_at")})
-        payload = {k: counts.get(k, 0) for k in review.DECISIONS} | {"pending": self.pending(), "clusters": self.table("clusters").count()}
+        told_of = [sum(counts.values()), *(counts.get(k, 0) for k in review.DECISIONS), self.pending(), self.table("clusters").count()]
+        payload = dict(zip(review.REVIEW_METRICS, told_of))
         self.store({"stage_metrics": self._metrics("review", payload)})
         return payload
 
@@ -214,26 +198,36 @@ class Workspace:
     def golden(self, unite_keywords: bool = False) -> DataFrame:
         return golden.consolidated(self.table("clusters"), self.table("cluster_members"), self.table("records"), unite_keywords)
 
-    def export(self, csv_path: str | Path, ris_path: str | Path, allow_pending: bool = False, csv_encoding: str = "utf-8", ris_encoding: str = "utf-8") -> int:
+    def export_tables(self, folder: str | Path, allow_pending: bool = False) -> None:
+        """The export as folders of CSV and RIS parts, written where the rows are, for results no single file should hold."""
         waiting = self.pending()
         if waiting and not allow_pending:
             raise RuntimeError(f"{waiting} pairs wait for review; allow_pending exports anyway")
-        from citeloom.session import settle
+        golden.write_parts(self.golden(), str(folder))
 
+    def export(self, csv_path: str | Path, ris_path: str | Path, allow_pending: bool = False, csv_encoding: str = "utf-8", ris_encoding: str = "utf-8") -> int:
+        waiting = self.pending()
+        if waiting and not allow_pending:
+            raise RuntimeError(f"{waiting} pairs wait for review; allow_pending exports anyway")
         g = settle(self.golden(), "golden")
         golden.write_csv(golden.csv_rows(g), csv_path, encoding=csv_encoding)
         golden.write_ris(golden.ris_text(g), ris_path, ris_encoding)
         return g.count()
 
     def stats(self) -> dict:
-        records, files = self.table("records"), self.table("source_files")
-        pairs_of = lambda df, k: {r[k]: r["n"] for r in df.orderBy(k).collect()}
-        return {
-            "records": records.count(), "clusters": self.table("clusters").count(), "sources": pairs_of(report.source_breakdown(records), "source_db"), "types": pairs_of(report.type_distribution(records), "record_type_category"),
-            "missing": {r["field"]: r["missing"] for r in report.missing_fields(records).collect()}, "tags": pairs_of(report.observed_tags(self.table("record_fields_raw")), "tag"),
-            "encodings": pairs_of(report.encoding_summary(files), "encoding"), "encoding_by_file": [r.asDict() for r in report.encoding_by_file(files).orderBy("id").collect()],
-            "manual_review_pending": self.table("candidate_pairs").filter("status = 'pending'").count(), "stages": {s: self.metrics(s) for s in ("exact", "fuzzy", "review")},
-        }
+        """The figures of the report; one entry for each stored file, everything else is small."""
+        records, files, clusters = self.table("records"), self.table("source_files"), self.table("clusters")
+        pairs_of = lambda df, k, *by: {r[k]: r["n"] for r in df.orderBy(*(by or (k,))).collect()}
+        stages = {s: self.metrics(s) for s in ("exact", "fuzzy", "review")}
+        often = F.col("n").desc()
+        summary = [files.count(), records.count(), stages["exact"].get("exact_clusters"), stages["fuzzy"].get("post_fuzzy_clusters"), self.table("candidate_pairs").filter("status = 'pending'").count(), clusters.count()]
+        return dict(zip(report.SECTIONS, (
+            dict(zip(report.SUMMARY, summary)), pairs_of(report.source_breakdown(records), "source_db"),
+            {r["field"]: {"missing": r["missing"], "total": r["total"]} for r in report.missing_fields(records).collect()},
+            pairs_of(report.type_distribution(records), "record_type_category", often, "record_type_category"), stages["exact"], stages["fuzzy"], stages["review"],
+            pairs_of(report.encoding_summary(files), "encoding", often, "encoding"), [r.asDict() for r in report.encoding_by_file(files).orderBy("id").drop("id").toLocalIterator()],
+            profile_summary(self.settings) | {"observed_raw_tags": pairs_of(report.observed_tags(self.table("record_fields_raw")), "tag")},
+        )))
 
     def report(self, markdown_path: str | Path, json_path: str | Path, encoding: str = "utf-8") -> dict:
         payload = self.stats()

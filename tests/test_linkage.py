@@ -111,3 +111,17 @@ def test_state(spark):
     left = state.without(f, f.filter("id = 3"), "id", {"r": (spark.createDataFrame([(9, 3), (8, 1)], "id long, source_file_id long"), "source_file_id")})
     assert left[""].count() == 2 and [r["id"] for r in left["r"].collect()] == [8]
     assert state.upserted(f, f.filter("id = 2").withColumn("path", F.lit("z")), "id").filter("path = 'z'").count() == 1
+
+
+def test_hot_blocks_are_divided(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 5}") for i in range(90)], "id long, key string")
+    want = {(r[0], r[1]) for r in rows.alias("l").join(rows.alias("r"), "key").filter("l.id < r.id").select("l.id", "r.id").collect()}
+    for part in (7, 1000):
+        got = [tuple(r) for r in linkage._pairs_within(rows, ["key"], part).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_rounding_is_exact(spark):
+    values = [3.125, 3.375, 2.675, 1.005, 99.995, 0.0, 100.0, 12.345, 66.665]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", linkage.rounded(F.col("v"), 2).alias("r"))
+    assert all(r["r"] == round(r["v"], 2) for r in df.collect())

@@ -2,6 +2,7 @@ import csv
 
 import pytest
 
+from citeloom.operators import golden, report
 from citeloom.sources.profiles import BUILT_IN
 from citeloom.streaming import ingest
 from citeloom.workspace import Workspace, sample_file
@@ -57,9 +58,9 @@ def test_whole_way(spark, tmp_path, files):
     assert ws.ingest(list(files)) == {"imported": 2, "skipped": 0, "records": 4}
     assert ws.ingest([files[0]])["skipped"] == 1
     e = ws.dedup_exact()
-    assert (e["raw_records"], e["clusters"], e["doi_groups"]) == (4, 3, 1)
+    assert (e["raw_records"], e["exact_clusters"], e["doi_groups"]) == (4, 3, 1)
     f = ws.dedup_fuzzy()
-    assert f["pending_review"] == 1 and f["clusters"] == 3
+    assert f == {"pre_fuzzy_clusters": 3, "auto_merge_pairs": 0, "manual_review_pending": 1, "post_fuzzy_clusters": 3}
     with pytest.raises(RuntimeError):
         ws.export(tmp_path / "x.csv", tmp_path / "x.ris")
     q = tmp_path / "q.csv"
@@ -75,13 +76,22 @@ def test_whole_way(spark, tmp_path, files):
         w.writeheader()
         w.writerows(rows)
     r = ws.review_import(q)
-    assert (r["merge"], r["pending"], r["clusters"]) == (1, 0, 2)
+    assert (r["reviewed_pairs"], r["merged_by_review"], r["pending_after_review"], r["final_clusters_after_review"]) == (1, 1, 0, 2)
     keeper = int(rows[0]["right_record_id"])
     assert keeper in {x["canonical_record_id"] for x in ws.table("clusters").collect()}
     assert ws.export(tmp_path / "x.csv", tmp_path / "x.ris") == 2
     assert ws.table("manual_reviews").first()["decision"] == "merge"
     p = ws.report(tmp_path / "r.md", tmp_path / "r.json")
-    assert p["records"] == 4 and p["missing"]["abstract"] == 3 and p["encodings"] == {"utf-8|default": 2} and "| abstract | 3 | 75.0% |" in (tmp_path / "r.md").read_text()
+    md = (tmp_path / "r.md").read_text()
+    assert tuple(p) == report.SECTIONS and p["summary"] == {"total_source_files": 2, "raw_imported_records": 4, "exact_deduplicated_clusters": 3, "fuzzy_auto_merged_clusters": 3, "manual_review_pending": 0, "final_unique_clusters": 2}
+    assert p["missing_key_fields"]["abstract"] == {"missing": 3, "total": 4} and p["missing_key_fields"]["pages"]["missing"] == 3 and p["encoding_summary"] == {"utf-8|default": 2}
+    assert [f["record_count"] for f in p["encoding_by_file"]] == [2, 2] and p["parser_profile_summary"]["observed_raw_tags"]["Y1"] == 2 and p["parser_profile_summary"]["profiles"]["embase_ris"]["abstract_tags"] == ["N2", "AB"]
+    assert "| abstract | 3 | 4 | 75.0% |" in md and "total source files: 2" in md and "utf-8 by default: 2 files" in md and '"reviewed_pairs": 1' in md and "byte-order marks stripped" in md
+    pair = ws.table("candidate_pairs").first()
+    assert pair["created_at"] and pair["resolved_at"] and pair["status"] == "merged_by_review" and pair["composite_score"] == round(pair["composite_score"], 2)
+    ws.export_tables(tmp_path / "parts")
+    back = spark.read.csv(str(tmp_path / "parts" / "csv"), header=True, multiLine=True, escape='"')
+    assert back.count() == 2 and set(back.columns) == set(golden.CSV_COLUMNS) and spark.read.text(str(tmp_path / "parts" / "ris")).filter("value like 'TY  -%'").count() == 2
     assert ws.ingest([files[0]], force=True)["imported"] == 1
     assert ws.table("records").count() == 4 and ws.table("clusters").count() == 0
 
@@ -116,3 +126,18 @@ def test_stream(spark, tmp_path, files):
     assert spark.read.parquet(target).count() == 2
     ingest.into_table(ingest.watch(spark, str(files[1].parent)), target, str(tmp_path / "cp"), BUILT_IN["embase_ris"], known)
     assert spark.read.parquet(target).count() == 2
+
+
+def test_many_stored_files(spark, tmp_path, files):
+    """Stored files are met by joins, whatever their number."""
+    ws = Workspace(spark, tmp_path / "ws")
+    old = spark.range(10_000).selectExpr("id + 1 id", "concat('/old/', id, '.ris') path", "'ris' format", "'standard_ris' profile_name", "concat('h', id) file_hash", "current_timestamp() imported_at", "'utf-8' encoding_used", "'default' encoding_source", "1L record_count")
+    ws.store({"source_files": old})
+    twin = tmp_path / "twin.nbib"
+    twin.write_text(NBIB)
+    assert ws.ingest([files[0], twin, files[0]]) == {"imported": 1, "skipped": 1, "records": 2}
+    assert ws.ingest([files[0], twin])["imported"] == 0
+    assert ws.ingest([files[1], twin], force=True) == {"imported": 2, "skipped": 0, "records": 4}
+    f = {r["path"]: r["id"] for r in ws.table("source_files").filter("id > 10000").collect()}
+    assert f == {str(files[0]): 10_001, str(files[1]): 10_002, str(twin): 10_003}
+    assert ws.table("records").select("id").distinct().count() == 6 and ws.ingest([]) == {"imported": 0, "skipped": 0, "records": 0}
