@@ -80,6 +80,65 @@ def test_journals(name, want):
     assert [e for e, *_ in t.match(name)] == ([want] if want else [])
 
 
+def matched(entries, name, titles=False):
+    return [e for e, *_ in (names.Titles if titles else names.Persons)(entries).match(name) if e]
+
+
+@pytest.mark.parametrize("full,name,same", [
+    ("Li, Wei", "Li W", True), ("Li, Wei", "Wei Li", True), ("Ma, Jun", "Ma, Jun", True), ("Ma, Jun", "Ma J", True), ("Ma, Jun", "Jun Ma", True), ("Ba, Ida", "Dr. Ba, Ida", True), ("Quell, Jana R.", "Quell JR", True),
+    ("Quell, Jana", "Quell Jana, Dr", True), ("Papadopoulos, Nikos", "Papadopulous, Nikos", True), ("Papadopoulos, Nikos", "Papadopulous N", False), ("Papadopoulos, Nikos", "Papdopouls, Nikos", True), ("Papadopoulos, Nikos", "Papadopuous, Nina", False),
+    ("Ruud, Emil", "Rudu, Emil", True), ("Ruud, Emil", "Rudu E", False), ("O, Kim", "O, Kim", True), ("Brenwald, Jan Peter Otto", "Brenwald, Peter Jan", True), ("Brenwald, Jan Peter Otto", "Brenwald, P. J.", False), ("Brenwald, Jan Peter Otto", "Brenwald, Otto Peter", False),
+    ("Brenwald, Thomas", "Tommy Brenwald", True), ("Brenwald, Victoria", "Brenwald, Vicky", True), ("Brenwald, Benjamin", "Brenwald, Benny", True), ("Brenwald, Walter", "Brenwald, Benny", False), ("Brenwald, William", "Brenwald, Bill", True),
+])
+def test_person_readings(full, name, same):
+    assert matched([(1, full)], name) == ([1] if same else [])
+
+
+def test_titles_of_any_length():
+    words = "Journal of Alpha Beta Gamma Delta Epsilon Zeta Theta Kappa".split()
+    rng = random.Random(8)
+    for _ in range(20):
+        mixed = rng.sample(words, len(words))
+        assert matched([(1, " ".join(words))], " ".join(mixed), True) == [1]
+    assert matched([(1, " ".join(words))], " ".join(mixed).replace("Theta", "Lambda"), True) == []
+    assert matched([(1, " ".join(words))], "Jour Alp Bet Gam Delt Epsilno Zet Thet Kapp".replace("Jour", "J"), True) == [1]
+
+
+def test_assignment_is_the_best_one():
+    from itertools import permutations
+
+    rng = random.Random(5)
+    for _ in range(300):
+        n, m = rng.randrange(0, 5), rng.randrange(1, 6)
+        cost = [[rng.choice([0, 1, 2, names.FAR]) for _ in range(m)] for _ in range(n)]
+        totals = [sum(cost[i][j] for i, j in enumerate(p)) for p in permutations(range(m), n) if all(cost[i][j] < names.FAR for i, j in enumerate(p))] if n <= m else []
+        assert names.assigned(cost, names.FAR) == min([names.FAR, *totals])
+
+
+def test_two_edits_for_long_words():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(5, 13))) for _ in range(40)]
+    index = names.Index(names.LONG)
+    for i, w in enumerate(words):
+        index.add(w, i)
+    for w in words:
+        x = list(w)
+        for _ in range(2):
+            k = rng.randrange(len(x) - 1)
+            x[k : k + 1] = rng.choice([[], ["a"], [x[k], "b"]])
+        x = "".join(x)
+        want = {i for i, v in enumerate(words) if names.distance(x, v, 2) <= (2 if len(v) >= names.LONG else 1)}
+        assert {e for _, e in index.near(x)} == want
+
+
+def test_authority_in_passes(spark):
+    recs = [(i, f'["{n}"]', None) for i, n in enumerate(["von Seltstrom MK", "Brenwald E", "Aro X", "Aro, Xenia"])]
+    df = spark.createDataFrame(recs, "id long, authors_json string, journal string")
+    a = spark.createDataFrame([*AUTHORITY, (6, "person", "Aro, Xaver"), (7, "person", "Aro, Xenia"), (None, "person", "Aro, Xavi")], "name_id long, entity_kind string, full_name string")
+    for most in (1, 2, 100):
+        assert {tuple(r) for r in names.variants(df, a, most=most).collect()} == {(0, 1), (1, 2)}
+
+
 def test_index_finds_what_comparing_all_finds():
     rng = random.Random(3)
     words = ["".join(rng.choice("abc") for _ in range(rng.randrange(2, 7))) for _ in range(150)]
