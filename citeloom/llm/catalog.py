@@ -43,7 +43,8 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     from citeloom.llm import encodings, lookalikes
 
     records = table(spark, d, "records")
-    return lookalikes.forms(records, encodings.damaged(records))
+    # the exclusion concerns the fields of this query alone
+    return lookalikes.forms(records, encodings.damaged(records, table(spark, d, "source_files"), fields=("title",)))
 
 
 @query
@@ -171,14 +172,14 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from citeloom.llm import encodings
 
-    return encodings.damaged(table(spark, d, "records"))
+    return encodings.damaged(table(spark, d, "records"), table(spark, d, "source_files"))
 
 
 @query
 def p7_restored(spark: SparkSession, d: str) -> DataFrame:
     from citeloom.llm import encodings
 
-    return encodings.restored(table(spark, d, "records"))
+    return encodings.restored(table(spark, d, "records"), table(spark, d, "source_files"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

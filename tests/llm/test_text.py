@@ -179,5 +179,47 @@ def test_wildcards_fit_rare_characters():
     common = [chr(c) for c in range(0x6000, 0x6F00) if chr(c).encode()[:2] != "漢".encode()[:2]]
     speech = encodings.Speech({c: 1000 - k % 500 for k, c in enumerate(common)} | {"漢": 2})
     b = list("漢".encode())
-    assert encodings.decode_utf8([b[0], b[1], -1], speech) == "漢" and encodings.decode_utf8([-1, b[1], b[2]], speech) == "漢"
-    assert encodings.decode_utf8([b[0], b[1]], speech) == "漢" and encodings.decode_utf8([0xFF, -1], speech) is None
+    read = lambda data, codec="utf-8", **how: encodings.decoded(data, codec, speech, **how)
+    assert read([b[0], b[1], -1]) == "漢" and read([-1, b[1], b[2]]) == "漢" and read([65, b[0], -1, b[2]], open_=True) == "A" + encodings.LOST
+    assert read([b[0], b[1]]) == "漢" and read([0xFF, -1]) is None
+    g = list("漢".encode("gbk"))
+    assert read([65, -1, g[1]], "gbk") is not None and read([0xE9, -1], "cp1252") == "é" + encodings.LOST
+
+
+def test_white_space_is_kept(spark):
+    clean = [(i, "une qualité perdue en été avec récupération", "x") for i in range(60)]
+    text = "Background: qualité\n\nMethods:  été\tok \r\n récupération\n"
+    df = spark.createDataFrame([*clean, (100, "x", text.encode().decode("cp1252"))], "id long, title string, abstract string")
+    got = {r["record_id"]: r for r in encodings.restored(df).collect()}
+    assert set(got) == {100} and got[100]["text"] == text and got[100]["complete"]
+
+
+def test_lost_bytes_of_other_channels(spark):
+    words = ["récupération", "médication", "Früherkennung", "qualité"]
+    clean = [(i, " ".join(words), None) for i in range(80)]
+    broken = "récupération Früherkennung".encode("mac_roman").decode("cp1252", "replace")
+    assert "�" in "".join(broken) or broken != "récupération Früherkennung"
+    rows = [*clean, (100, broken.replace("Ž", "�", 1), None), (101, "qualit�", None)]
+    got = {r["record_id"]: r["text"] for r in encodings.restored(spark.createDataFrame(rows, "id long, title string, abstract string")).collect()}
+    assert got == {100: "récupération Früherkennung", 101: "qualité"}
+
+
+def test_capitals_are_no_damage(spark):
+    words = "применение препарата маркера наблюдение больными исследование лечение прекратили участвовали бронхиальная гипертония".split()
+    rng = random.Random(7)
+    clean = [(i, " ".join(rng.choice(words) for _ in range(7)), None) for i in range(200)]
+    rows = [*clean, (500, "ПРИМЕНЕНИЕ ПРЕПАРАТА ПРИ ГИПЕРТОНИИ", None), (501, "прекратили наблюдение".encode("koi8_r").decode("cp1251"), None), (502, "Лечение б", None), (503, "SCHLAFSTÖRUNGEN", None)]
+    assert [tuple(r) for r in encodings.damaged(spark.createDataFrame(rows, "id long, title string, abstract string")).collect()] == [(501, "title")]
+
+
+def test_a_file_with_a_third_of_all_rows(spark):
+    rng = random.Random(11)
+    words = [w for w in "Häufigkeit Längsschnittstudie Früherkennung Übergewicht Gedächtnis Herzschwäche Hörverlust Schlafstörung Rückenschmerz".split()]
+    text = lambda: " ".join(rng.choice(words) for _ in range(5))
+    rows = [(i, 1 + i % 2, text(), None) for i in range(200)] + [(1000 + i, 3, text().encode("cp1252").decode("mac_roman"), None) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, source_file_id long, title string, abstract string")
+    files = spark.createDataFrame([(1, "utf-8"), (2, None), (3, "mac_roman")], "id long, encoding_used string")
+    for told in (files, None):
+        got = {r["record_id"]: r["text"] for r in encodings.restored(df, told).collect()}
+        assert set(got) == {i for i, f, _, _ in rows if f == 3}
+        assert all(got[i] == t.encode("mac_roman").decode("cp1252") for i, f, t, _ in rows if f == 3)
