@@ -33,6 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm import lookalikes
 from citeloom.llm.lookalikes import consistent, names_of
 from citeloom.session import settle
 
@@ -389,8 +390,9 @@ class Titles:
 _MENTIONS = "record_id long, person boolean, typed string, name_id long, own string, word string, edits int, total int, differs boolean"
 
 
-def _scan(shared):
+def _scan(shared, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookalikes.use(table)
         persons, titles = shared.value
         known: dict[tuple[bool, str], list[tuple[int | None, str, str, int, int]]] = {}
 
@@ -431,7 +433,7 @@ def mentions(records: DataFrame, authority: DataFrame, most: int = MOST_ENTRIES)
     for k in range(passes):
         part = rows.filter(F.col("pass") == k).collect()
         shared = spark.sparkContext.broadcast((Persons([(r.name_id, r.full_name) for r in part if r.entity_kind == "person"]), Titles([(r.name_id, r.full_name) for r in part if r.entity_kind == "journal"])))
-        found.append(x.mapInArrow(_scan(shared), _MENTIONS))
+        found.append(x.mapInArrow(_scan(shared, lookalikes.twins(spark)), _MENTIONS))
     if passes == 1:
         return found[0]
     # the passes put together: of each mention the reading with the fewest edits, and none if two entries have as few
