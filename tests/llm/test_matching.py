@@ -81,14 +81,14 @@ def test_survivors(spark):
 
 def test_longer_keys_miss_no_more_pairs():
     for v, n in M.TABLES.items():
-        most = (1 - 0.75**6) ** n
+        most = (1 - M.AGREE**6) ** n
         for bits in range(4, 27):
-            assert M.tables(bits)[v] >= n and (1 - 0.75**bits) ** M.tables(bits)[v] <= most + 1e-9
+            assert M.tables(bits)[v] >= n and (1 - M.AGREE**bits) ** M.tables(bits)[v] <= most + 1e-9
     assert sum(M.tables(26).values()) <= 1 << 13
     # noisy copies of random vectors meet in some table as often with long keys as with short ones
     rng = np.random.default_rng(4)
     x = rng.standard_normal((4000, M.DIM)).astype(np.float32)
-    y = x + 0.73 * rng.standard_normal(x.shape).astype(np.float32)
+    y = x + 0.5 * rng.standard_normal(x.shape).astype(np.float32)
     met = []
     for bits in (6, 10):
         hyper = M.planes(bits)
@@ -115,3 +115,40 @@ def test_survivors_keep_the_latest_value_of_one_form(spark):
     got = {r["cluster_id"]: r["value"] for r in survivors.surviving_values(*tables, fields=("title",)).collect()}
     # rank decides between values of one time and between a time and none of the same form; BIG is of a form that is learnt to be earlier
     assert got == {1: "New name", 2: "Tie two", 3: "Twice", 4: "Small", 5: "Quiet", 6: "Once"}
+
+
+def test_many_equal_titles_and_many_sources(spark):
+    """A title that most records bear is no task's whole work, and sources are told apart however many there are."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(1500):
+        name, year, page = "".join(rng.choice("abcdefghijklmnop") for _ in range(10)), 1990 + i % 30, str(rng.randrange(10**6))
+        for k in range(2 if i % 10 == 0 else 1):
+            rows.append(row(2 * i + k, f"source {rng.randrange(5000)} {k}", "Editorial on the state of renal care", f'["{name}, A", "Co{name}, B"]', f"Annals of Place{i % 40}", year, str(i % 50), page))
+    want = {(2 * i, 2 * i + 1) for i in range(0, 1500, 10)}
+    df = spark.createDataFrame(rows, COLUMNS)
+    got = {(r[0], r[1]) for r in M.matches(df, big=100, mean_block=32).collect()}
+    assert (len(got - want), len(want - got)) <= (0, 0.03 * len(want)), (sorted(got - want)[:5], sorted(want - got)[:5])
+    assert df.select("source_db").distinct().count() > 1200
+
+
+def test_training_moves_nodes_that_meet(spark):
+    rng = random.Random(3)
+    topics = [[f"t{k}word{i}" for i in range(6)] for k in range(8)]
+    lists = [rng.sample(topics[i % 8], 4) for i in range(4000)]
+    at, moved = M.learnt(lists)
+    by = dict(zip(at.tolist(), moved))
+    unit = lambda w: (lambda v: v / np.linalg.norm(v))(M.spelling([w])[0] + by[int(M.slots_of([w])[0])])
+    near = np.mean([unit(t[0]) @ unit(t[1]) - M.spelling([t[0]])[0] @ M.spelling([t[1]])[0] for t in topics])
+    far = np.mean([unit(topics[k][0]) @ unit(topics[k - 1][1]) - M.spelling([topics[k][0]])[0] @ M.spelling([topics[k - 1][1]])[0] for k in range(8)])
+    assert near > far + 0.05
+    assert M.learnt([])[0].size == 0
+
+
+def test_few_labels_leave_the_prior():
+    assert (M.calibrate([]) == M.PRIOR).all()
+    alike = [1.0, 1.0, 1.0, 0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    apart = [0.9, 0.2, 1.0, 0.0, -1.0, -1.0, 1.0, -1.0, -1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0]
+    p = lambda w, x: 1 / (1 + np.exp(-(w[0] + np.dot(w[1:], x))))
+    for w in (M.PRIOR, M.calibrate([(1, *alike)] * 30 + [(0, *apart)] * 30)):
+        assert p(w, alike) > M.ACCEPT > 0.5 > p(w, apart)
