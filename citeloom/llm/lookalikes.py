@@ -37,6 +37,8 @@ _UNSEEN, _SPACES, _GUISE = re.compile(f"[{UNSEEN}]"), re.compile(f"[{SPACES}]"),
 _ASCII_DIGIT = re.compile(r"[a-z][01][a-z]|(?<![0-9A-Za-z])[01][a-z]{4}")
 #: The same for a filter of whole columns.
 SUSPECT = r"[^\x00-\x7F]|[a-z][01][a-z]|(^|[^0-9A-Za-z])[01][a-z]{4}"
+#: Letters that no usual Latin or Han spelling has; a text without one needs no look at its scripts.
+_ODD = re.compile("[ıĸſ\u0250-\u1dff\u1f00-\u1fff\u2c00-\u2dff\ua4d0-\uabff\ufb00-\ufdff\ufe70-\ufefe\U00010000-\U0001ffff]")
 _WORD = re.compile(r"[^\W\d_\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+")  # Han, kana and Hangul end a word of letters
 _LATIN, _GREEK, _CYRILLIC = "LATIN", "GREEK", "CYRILLIC"
 #: Scripts with two letter cases, of which a whole word can be taken for Latin.
@@ -158,7 +160,7 @@ def spelled(text: str, name: bool = False) -> str:
     """``text`` with mixed and whole-script confusable words in the script they resolve to."""
     if _ASCII_DIGIT.search(text):
         text = _RUN.sub(_digits, text)
-    if text.isascii() or not any(c >= "\u0131" for c in text):
+    if not _ODD.search(text):
         return text
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
     usual = lambda own: own <= {_LATIN, "CJK", "HIRAGANA", "KATAKANA", "HANGUL"}
