@@ -13,7 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,14 +94,14 @@ def scan_runs(keys: DataFrame) -> DataFrame:
 
 
 def collapse(records: DataFrame) -> DataFrame:
-    """(record_id, group_id, copies): one row for each record of each group of two or more."""
+    """(record_id, group_id): one row for each record of each group of two or more."""
     runs = scan_runs(keyed(records))
     inner = runs.filter("edge = 0")
     # partial sums are made where the rows are; what is left is at most two rows a partition
     edges = runs.filter("edge > 0")
     whole = edges.groupBy("k").agg(F.min("head").alias("group_id"), F.count("*").alias("copies"))
     whole = whole.filter("copies > 1")
-    kept = edges.select("id", "k").join(F.broadcast(whole), "k").select("id", "group_id")
+    kept = edges.select("id", "k").join(whole, "k").select("id", "group_id")
     return inner.select("id", F.col("head").alias("group_id")).unionByName(kept).select(
         F.col("id").alias("record_id"), "group_id"
     )
@@ -107,29 +109,39 @@ def collapse(records: DataFrame) -> DataFrame:
 
 def representatives(records: DataFrame) -> DataFrame:
     """(record_id, copies): one row for each distinct keyed record, with the exact number of copies it had."""
-    runs = _count_runs(keyed(records))
-    return runs.groupBy("k").agg(F.min("head").alias("record_id"), F.sum("n").alias("copies")).select("record_id", "copies")
+    runs = settle(_count_runs(keyed(records)), "tallies")
+    # only the first and the last run of a partition can go on in another one
+    edges = runs.filter("k is not null").groupBy("k").agg(F.min("head").alias("record_id"), F.sum("n").alias("copies"))
+    return runs.filter("k is null").select(F.col("head").alias("record_id"), F.col("n").alias("copies")).unionByName(edges.select("record_id", "copies"))
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, head, n) of every run of one sorted partition."""
-    open_key, head, n = None, None, 0
-    ks: list[str] = []
-    hs: list[int] = []
-    ns: list[int] = []
+    """(k, head, n) of every run of one sorted partition, found by comparing neighbours batch by batch; k only for the first and
+    the last run."""
+    key, head, n, first = None, 0, 0, True  # the run that is open
+
+    def out(k: list, h, c) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(h, pa.int64()), pa.array(c, pa.int64())], names=["k", "head", "n"])
+
     for b in batches:
-        for i, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if k != open_key:
-                if open_key is not None:
-                    ks.append(open_key), hs.append(head), ns.append(n)
-                open_key, head, n = k, i, 0
-            n += 1
-        if len(ks) >= 65536:
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.string()), pa.array(hs, pa.int64()), pa.array(ns, pa.int64())], names=["k", "head", "n"])
-            ks, hs, ns = [], [], []
-    if open_key is not None:
-        ks.append(open_key), hs.append(head), ns.append(n)
-    yield pa.RecordBatch.from_arrays([pa.array(ks, pa.string()), pa.array(hs, pa.int64()), pa.array(ns, pa.int64())], names=["k", "head", "n"])
+        if not b.num_rows:
+            continue
+        ids, keys = b.column(0).to_numpy(), b.column(1)
+        at = np.r_[0, 1 + np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False))]
+        size = np.diff(np.r_[at, len(ids)])
+        heads = ids[at]
+        if key is not None and keys[0].as_py() == key:
+            heads[0], size[0] = head, size[0] + n
+        elif key is not None:
+            yield out([key if first else None], [head], [n])
+            first = False
+        if len(at) > 1:
+            k = keys[0].as_py() if first else None
+            yield out([k] + [None] * (len(at) - 2), heads[:-1], size[:-1])
+            first = False
+        key, head, n = keys[int(at[-1])].as_py(), int(heads[-1]), int(size[-1])
+    if key is not None:
+        yield out([key], [head], [n])
 
 
 def _count_runs(keys: DataFrame) -> DataFrame:

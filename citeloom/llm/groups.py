@@ -6,7 +6,7 @@ representatives found along its row and column, keeps the smallest as its parent
 between representatives are the edges of the next, much smaller round; parents are followed until none changes.
 
 A hub with a third of all edges has them in all cells of its row, so no task gets them alone, and it leaves a cell as one
-row.  The side of the grid follows the number of edges (``CELL_EDGES`` a cell), with at least ``LEAST_SIDE`` at the start.
+row; a cell of its row holds its share of them, which grows with the square root of the edges.  The side of the grid follows the number of edges (``CELL_EDGES`` a cell), with at least ``LEAST_SIDE`` at the start.
 
 Cases: ids may come from the two columns or from ``pair_key``; a pair without two different ids links nothing; repeated
 and reversed pairs count once; an empty table yields no rows; extra columns are ignored.
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.session import settle
+from citeloom.session import forget, settle
 
 CELL_EDGES = 200_000
 LEAST_SIDE = 4
@@ -88,13 +88,15 @@ def components(edges: DataFrame, cell_edges: int = CELL_EDGES, least_side: int =
         low = stars.groupBy("v").agg(F.min("r").alias("p"))
         step = settle(low, "parents")
         links = stars.join(step, "v").filter("r <> p").select(F.col("p").alias("a"), F.col("r").alias("b")).distinct()
-        now = settle(links, "edges")
+        old, now = now, settle(links, "edges")
         n = now.count()
+        forget(old, stars)
         if parents is None:
             parents = step
         else:
             moved = step.select(F.col("v").alias("p"), F.col("p").alias("q")).filter("p <> q")
-            parents = settle(parents.join(moved, "p", "left").select("v", F.coalesce("q", "p").alias("p")), "parents")
+            old, parents = parents, settle(parents.join(moved, "p", "left").select("v", F.coalesce("q", "p").alias("p")), "parents")
+            forget(old, step)
         side = max(1, math.ceil(math.sqrt(2 * n / cell_edges)))
     if parents is None:
         return edges.select(F.col("a").cast("long").alias("v"), F.col("b").cast("long").alias("root")).limit(0)

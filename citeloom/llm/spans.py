@@ -304,7 +304,7 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, seed: int | None =
 def _block_pairs(members: DataFrame, block: int = 256) -> DataFrame:
     """(a, b), a < b, of the members (cls, doc) of each class, made block by block of the class."""
     m = members.distinct()
-    n = m.groupBy("cls").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    n = m.groupBy("cls").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")  # most classes have one member
     m = m.join(n, "cls").select("cls", "doc", "blocks", F.pmod(F.xxhash64("doc"), "blocks").alias("blk"))
     left = m.select("cls", "doc", F.col("blk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     right = m.select("cls", F.col("doc").alias("doc2"), F.col("blk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))

@@ -51,3 +51,18 @@ def test_copies(spark):
     copies.PIECE = old
     assert {r["record_id"]: r["copies"] for r in copies.representatives(df).collect()} == {min(v): len(v) for v in by.values()}
     assert copies.collapse(df.limit(0)).count() == 0
+
+
+def test_tallies_across_batches():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    for _ in range(40):
+        keys = sorted(rng.choice("abcde") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 30)))
+        cuts = sorted(rng.randrange(0, len(keys) + 1) for _ in range(3))
+        parts = [list(range(len(keys)))[a:b] for a, b in zip([0, *cuts], [*cuts, len(keys)])]
+        batches = [pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array([keys[i] for i in p], pa.string())], names=["id", "k"]) for p in parts]
+        rows = [r for b in copies._tally(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        want = [(keys.index(k), keys.count(k)) for k in dict.fromkeys(keys)]
+        assert [r[1:] for r in rows] == want
+        assert [i for i, r in enumerate(rows) if r[0] is not None] == sorted({0, len(rows) - 1} if rows else set())
