@@ -8,16 +8,16 @@
    shards learnt is averaged.  A token's vector is that of its letter trigrams, which brings misspellings near, moved by what was
    learnt for it.  What was learnt lives in ``SLOTS`` hashed slots, a fixed size whatever the corpus.
 3. A record has two vectors, of its title and of its attributes, weighted by token counts over all records.  Hyperplanes turn
-   each into a code of 64 bits; several tables of different bits of the codes give the blocks.  More records need longer keys, and these more tables, so
-   that a pair is missed as rarely at every size.
-4. In a block, pairs from different sources with enough equal bits are kept, each in the first table where it meets, and compared
-   exactly, field by field.
+   each into a code of 64 bits; several tables of different bits of the codes give the blocks.  Rows are shuffled once for a
+   group of tables, packed; the longer keys that more than a million records need, and the more tables that go with them so that
+   a pair is missed as rarely at every size, are applied where a group's rows lie.
+4. In a block, pairs from different sources with enough equal bits and no contradiction in year, volume, page and DOI are kept,
+   each in the first group where it meets, and compared exactly, field by field.  Pairs that contradict each other are not made.
 5. The two cosines and the field scores are calibrated to a confidence on pairs that identifiers decide, a bounded sample, and the
    pairs with ``ACCEPT`` or more are the matches.
 
-Keys that a sample of all records shows to be frequent are divided among tasks before anything is shuffled.  A block of more than
-``BIG`` records is blocked again by bits of the other view, in ``SUBTABLES`` tables; what is still too large then is compared in
-cells of two parts each, so that no task holds it whole.
+All pairs of a block are treated alike, however large it is: a block of more than ``BIG`` records is compared in cells of two parts
+each, so that no task holds it whole, which changes nothing in the result.
 
 Cases: records without a title are left out; missing fields neither support nor contradict; authors that aren't a JSON array
 count as missing; equal records from one source are no pair; an empty table gives an empty result; repeated ids count once.
@@ -53,15 +53,15 @@ TABLE_BITS, AGREE = 6, 0.85
 SHARD, WALKS, STEPS, WINDOW, NEGATIVES, BATCH, RATE = 20_000, 1, 4, 2, 64, 4096, 0.05
 SLOTS = 1 << 16
 COUNT_SLOTS = 1 << 20
-BIG, SUBTABLES = 2_000, 12
-#: Keys are counted on so many records; one with this share of them is divided before the shuffle.
-PROBED, HOT_SHARE = 20_000, 1 / 100
+KEY_BITS = 5
+#: Blocks of more than so many records are compared in cells of two parts each; a task of the comparison gets about ``BLOCK_ROWS`` rows.
+BIG, BLOCK_ROWS = 2_000_000, 200_000
+#: The centres of the vectors are those of so many records.
+PROBED = 20_000
 #: The least confidence of a match.
 ACCEPT = 0.9
 #: Pairs of a block are compared if the two 64-bit codes together differ in so many bits at most.
 NEAR_SUM = 38
-#: In what is left of a block above ``BIG`` both codes must be so near.
-SUB_NEAR = 26
 CALIBRATION_PAIRS = 20_000
 FEATURES = "id long, src string, cat string, t string, a string, j string, year int, vol string, iss string, page string, doi string, pmid string, pmcid string"
 
@@ -542,33 +542,76 @@ def compare(p: dict, q: dict) -> list[float]:
 
 # ---------------------------------------------------------------- blocks
 
-MEAN_BLOCK = 128
+#: Keys have ``KEY_BITS`` bits; where that leaves more than so many records to a key on average, they get longer.
+MEAN_BLOCK = 16_384
+
+
+def grouped(bits: int) -> dict[str, tuple[int, int]]:
+    """(groups, tables a group) of each view for keys of ``bits`` bits.
+
+    The tables of a group have ``TABLE_BITS`` bits in common, by which rows are shuffled once for all of them; the chance that
+    a pair whose bits agree with ``AGREE`` is missed by all is at most that of ``TABLES`` at ``TABLE_BITS``.
+    """
+    if bits <= TABLE_BITS:
+        return {v: (n, 1) for v, n in TABLES.items()}
+    out, met = {}, AGREE**TABLE_BITS
+    for v, n in TABLES.items():
+        need = (1 - (1 - met) ** (n / (n + 1))) / met
+        out[v] = n + 1, math.ceil(math.log1p(-need) / math.log1p(-(AGREE ** (bits - TABLE_BITS))))
+    return out
 
 
 def tables(bits: int) -> dict[str, int]:
     """The number of tables of each view for keys of ``bits`` bits."""
-    missed = lambda b: math.log1p(-(AGREE**b))
-    return {v: max(n, math.ceil(n * missed(TABLE_BITS) / missed(bits))) for v, n in TABLES.items()}
+    return {v: g * m for v, (g, m) in grouped(bits).items()}
 
 
 _PLANES = {v: x for v, x in zip(TABLES, np.random.default_rng(11).standard_normal((2, DIM, 64)).astype(np.float32))}
 
 
+@lru_cache(32)
+def layout(bits: int) -> list[tuple[int, np.ndarray, int, list[np.ndarray]]]:
+    """(view, bits that its tables share, first table, the other bits of each table) of each group, those of the title first."""
+    rng, out, first = np.random.default_rng(bits), [], 0
+    for view, (groups, m) in enumerate(grouped(bits).values()):
+        for _ in range(groups):
+            places = rng.permutation(64)
+            shared, rest = places[: min(bits, TABLE_BITS)], places[min(bits, TABLE_BITS) :]
+            out.append((view, shared, first, [rng.permutation(rest)[: bits - len(shared)] for _ in range(m)]))
+            first += m
+    return out
+
+
+def _mask(places: np.ndarray) -> np.uint64:
+    return np.bitwise_or.reduce(np.uint64(1) << places.astype(np.uint64))
+
+
 @lru_cache(32)
 def masks(bits: int) -> np.ndarray:
     """The bits of the code that each table looks at, those of the title's tables first."""
-    rng = np.random.default_rng(bits)
-    n = sum(tables(bits).values())
-    return np.array([np.bitwise_or.reduce(np.uint64(1) << rng.permutation(64)[:bits].astype(np.uint64)) for _ in range(n)], np.uint64)
+    return np.array([_mask(np.r_[shared, own]) for _, shared, _, tables_ in layout(bits) for own in tables_], np.uint64)
+
+
+def _taken(code: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The bits of ``code`` in ``places`` as a number."""
+    out = np.zeros(len(code), np.int64)
+    for p in places:
+        out = out << 1 | (code >> np.uint64(p) & np.uint64(1)).astype(np.int64)
+    return out
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+def codes(title: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The title codes and attribute codes of the rows' vectors: 64 hyperplanes a view."""
+    return tuple(_pack(x @ _PLANES[v] > 0) for v, x in (("title", title), ("rest", rest)))  # type: ignore[return-value]
+
+
 def block_rows(title: np.ndarray, rest: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys of every table, title code, attribute code) of the rows' vectors: 64 hyperplanes a view, of which each table takes some."""
-    c0, c1 = (_pack(x @ _PLANES[v] > 0) for v, x in (("title", title), ("rest", rest)))
+    c0, c1 = codes(title, rest)
     m, t = masks(bits), tables(bits)["title"]
     part = np.concatenate([c0[:, None] & m[None, :t], c1[:, None] & m[None, t:]], 1)
     part ^= part >> np.uint64(29)
@@ -598,144 +641,190 @@ def _field(x: np.ndarray, shift: int, width: int) -> np.ndarray:
     return (x >> np.uint64(shift)) & np.uint64((1 << width) - 1)
 
 
-def near_pairs(c0: np.ndarray, c1: np.ndarray, f: np.ndarray, part: np.ndarray | None = None, most: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, kind) of pairs i < j from different sources with enough equal bits and no contradiction in their facts.
-
-    Kind 2 marks the pairs that are kept for the calibration although their DOIs differ.  With ``part`` only pairs across
-    two parts count, with ``most`` only those with so few different bits in each code.
+#: One of so many records is compared with all others in its blocks whatever their facts say, for the calibration.
+DRAWN = 211
+
+
+def _spread(first: np.ndarray, count: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(k, first[k] + 0 ... count[k] - 1) of all k, in steps."""
+    count = np.maximum(count, 0)
+    total, s = np.cumsum(count), 0
+    while s < len(count):
+        e = max(s + 1, int(np.searchsorted(total, (total[s - 1] if s else 0) + most, "right")))
+        n = count[s:e]
+        k = np.repeat(np.arange(s, e), n)
+        if len(k):
+            yield k, np.arange(len(k)) + np.repeat(first[s:e] - np.cumsum(n) + n, n)
+        s = e
+
+
+def _years_near(base: np.ndarray, year: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest key ``base << 8 | year`` of rows whose year, if there is one, is no more than two away."""
+    return base << 8 | np.where(year > 0, np.maximum(1, year - 2), 0), base << 8 | np.where(year > 0, np.minimum(255, year + 2), 255)
+
+
+def _within(rows: np.ndarray, base: np.ndarray, year: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ``rows`` with equal ``base`` and near or missing years."""
+    key = base[rows] << 8 | year[rows]
+    order = np.argsort(key, kind="stable")
+    rows, key = rows[order], key[order]
+    after = np.arange(1, len(rows) + 1)
+    for a, b in _spread(after, np.searchsorted(key, _years_near(base[rows], year[rows])[1], "right") - after):
+        yield rows[a], rows[b]
+
+
+def _across(x: np.ndarray, y: np.ndarray, base: np.ndarray, year: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows ``x`` and ``y`` with equal ``base`` and, if given, near or missing years."""
+    if not len(x) or not len(y):
+        return
+    time = np.zeros(len(base), np.int64) if year is None else year
+    key = base[y] << 8 | time[y]
+    order = np.argsort(key, kind="stable")
+    y, key = y[order], key[order]
+    low, high = _years_near(base[x], time[x])
+    dated = np.flatnonzero(time[x] > 0)
+    for of, a, b in ((np.arange(len(x)), low, high), (dated, base[x[dated]] << 8, base[x[dated]] << 8)):
+        start = np.searchsorted(key, a, "left")
+        for k, at in _spread(start, np.searchsorted(key, b, "right") - start):
+            yield x[of[k]], y[at]
+
+
+def near_pairs(ids: np.ndarray, c0: np.ndarray, c1: np.ndarray, f: np.ndarray, met: list[np.ndarray], part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, kind) of all pairs i < j that have one of the keys ``met`` in common, are from different sources and have enough equal
+    bits and no contradiction in their facts; with ``part`` only pairs across two parts count.
+
+    Kind 2 marks the pairs of drawn records that are kept for the calibration although their DOIs differ.  Only pairs that can pass
+    are made: facts leave pairs of one volume, of one page, and those of which one has no volume and one no page.
     """
-    n = len(c0)
+    n = len(ids)
+    src, year, vol, page, doi = (_field(f, s, w).astype(np.int64) for s, w in ((44, 20), (36, 8), (26, 10), (14, 12), (0, 14)))
+    drawn = (doi > 0) & ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(DRAWN) == 0)
+    rows = lambda x: np.flatnonzero(x)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for key in met:
+            yield from _within(rows(vol > 0), key << 10 | vol, year)
+            yield from _within(rows(page > 0), key << 12 | page, year)
+            yield from _across(rows((vol == 0) & (page == 0)), np.arange(n), key, year)
+            yield from _across(rows((vol == 0) & (page > 0)), rows((vol > 0) & (page == 0)), key, year)
+            yield from _across(rows(drawn), rows(doi > 0), key, None)
+
     got = []
-    src, year, vol, page, doi = (_field(f, s, w) for s, w in ((44, 20), (36, 8), (26, 10), (14, 12), (0, 14)))
-    year = year.astype(np.int16)
-    for s in range(0, n - 1, 128):
-        e = min(s + 128, n)
-        h0, h1 = np.bitwise_count(c0[s:e, None] ^ c0[None, s + 1 :]), np.bitwise_count(c1[s:e, None] ^ c1[None, s + 1 :])
-        near = h0 + h1 <= NEAR_SUM
-        if most < 64:
-            near &= (h0 <= most) & (h1 <= most)
-        a, b = np.divmod(np.flatnonzero(near), near.shape[1])
-        a, b = a + s, b + s + 1
-        ok = (a < b) & ((src[a] != src[b]) | (src[a] == 0))
+    for a, b in pairs():
+        ok = np.bitwise_count(c0[a] ^ c0[b]) + np.bitwise_count(c1[a] ^ c1[b]) <= NEAR_SUM
+        ok &= ((src[a] != src[b]) | (src[a] == 0)) & (a != b)
         if part is not None:
             ok &= part[a] != part[b]
         a, b = a[ok], b[ok]
-        if not len(a):
-            continue
         both = lambda x: (x[a] != 0) & (x[b] != 0)
         differ = lambda x: both(x) & (x[a] != x[b])
         same = lambda x: both(x) & (x[a] == x[b])
         bad = both(year) & (np.abs(year[a] - year[b]) > 2) | differ(vol) & ~same(page) | differ(page) & ~same(vol)
         other = differ(doi)
-        sampled = other & ((c0[a] + c0[b] + c1[a] + c1[b]) % np.uint64(101) == 0)
-        kind = np.where(sampled, 2, 0)
+        sampled = other & (drawn[a] | drawn[b])
         keep = ~bad & ~other | sampled
-        got.append((a[keep], b[keep], kind[keep]))
-    none = np.zeros(0, np.int64)
-    return tuple(map(np.concatenate, zip(*got))) if got else (none, none, none)  # type: ignore[return-value]
+        got.append(np.stack([np.minimum(a, b) * n + np.maximum(a, b), np.where(sampled, 2, 0)])[:, keep])
+    if not got:
+        return (np.zeros(0, np.int64),) * 3
+    pair, kind = np.concatenate(got, 1)
+    pair, at = np.unique(pair, return_index=True)
+    return pair // n, pair % n, kind[at]
 
 
-_PAIR = "i long, j long, c0 long, c1 long, facts long, kind int"
+_PAIR = "i long, j long, kind int"
+_DEALT = "key long, x int, y int, rows binary"
 
 
-def _out(i, j, c0=None, c1=None, f=None, kind=0) -> pa.RecordBatch:
-    n = len(i)
-    z = np.zeros(n, np.int64)
-    pick = lambda x: z if x is None else x.view(np.int64)
-    k = np.broadcast_to(np.asarray(kind, np.int32), (n,))
-    return pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(pick(c0)), pa.array(pick(c1)), pa.array(pick(f)), pa.array(np.ascontiguousarray(k))], names=[x.split()[0] for x in _PAIR.split(", ")])
+def _cells(ids: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+    """(part of each row, (x, y, whether in it) of each cell): in cell x, y are the rows of both parts."""
+    part = ((ids.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.int64) % parts
+    return part, [(x, y, (part == x) | (part == y)) for x in range(parts) for y in range(x, parts)]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int):
-    """The rows of each run of equal leading columns of sorted batches, as arrays; a run may come in several pieces."""
-    carry: list[np.ndarray] | None = None
-    for b in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if carry is not None:
-            cols = [np.concatenate(x) for x in zip(carry, cols)]
-        if not len(cols[0]):
-            continue
-        edge = np.zeros(len(cols[0]) - 1, bool)
-        for c in cols[:keys]:
-            edge |= c[1:] != c[:-1]
-        at = np.r_[0, np.flatnonzero(edge) + 1]
-        for s, e in zip(at[:-1], at[1:]):
-            yield [c[s:e] for c in cols]
-        carry = [c[at[-1] :] for c in cols]
-    if carry is not None:
-        yield carry
-
-
-def _compare_blocks(big: int, bits: int):
-    """Near pairs of each block, each in the first table where it meets; the rows of a block above ``big`` are handed on as they come (kind 1), never held together."""
+def _group_keys(b: pa.RecordBatch, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, rows of the batch that have it) of each group of tables; without attributes the second view has no direction."""
+    code = [b.column(c).to_numpy().view(np.uint64) for c in ("c0", "c1")]
+    some = np.flatnonzero(b.column("told").to_numpy(zero_copy_only=False))
+    for g, (view, shared, _, _) in enumerate(layout(bits)):
+        rows = some if view else np.arange(b.num_rows)
+        yield g << TABLE_BITS | _taken(code[view][rows], shared), rows
+
 
+def _count_keys(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, more in _pieces(batches, big):
-            key, ids, c0, c1, f = piece
-            if more:
-                yield _out(ids, key, c0, c1, f, 1)
-            elif len(ids) > 1:
-                c0, c1 = c0.view(np.uint64), c1.view(np.uint64)
-                i, j, kind = near_pairs(c0, c1, f.view(np.uint64))
-                new = first_met(c0[i] ^ c0[j], c1[i] ^ c1[j], int(key[0]) & 0x1FFF, bits)
-                i, j, kind = i[new], j[new], kind[new]
-                if len(i):
-                    yield _out(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), kind=kind)
+        total = np.zeros(len(layout(bits)) << TABLE_BITS, np.int64)
+        for b in batches:
+            for key, _ in _group_keys(b, bits):
+                total += np.bincount(key, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["key", "n"])
 
     return run
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], big: int):
-    """(rows, whether the run is above ``big``) of each run of the leading column; runs above it come in pieces."""
-    carry: list[np.ndarray] | None = None
-    open_: int | None = None  # the key of a run that is known to be above ``big``
-    for b in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if carry is not None:
-            cols = [np.concatenate(x) for x in zip(carry, cols)]
-        if not len(cols[0]):
-            continue
-        at = np.r_[0, np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1]
-        for s, e in zip(at[:-1], at[1:]):
-            yield [c[s:e] for c in cols], cols[0][s] == open_ or e - s > big
-        carry = [c[at[-1] :] for c in cols]
-        if len(carry[0]) > big or carry[0][0] == open_:
-            open_ = carry[0][0]
-            yield carry, True
-            carry = None
-    if carry is not None and len(carry[0]):
-        yield carry, carry[0][0] == open_ or len(carry[0]) > big
-
-
-def _again(bits: int, mean_block: int):
-    """Blocks above ``BIG`` once more: keys of every row (key, id, c0, c1, facts, size) by bits of the other view's code."""
-    titles = tables(bits)["title"]
+def _deal(bits: int, parts: dict[int, int]):
+    """The rows of each key packed together, byte by byte, so that they shrink; those of a key in ``parts`` go to its cells."""
+
+    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        b = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        table = np.stack([b.column(c).to_numpy().view(np.uint64) for c in ("id", "c0", "c1", "facts")], 1)
+        out: list[tuple[int, int, int, bytes]] = []
+        put = lambda k, x, y, rows: out.append((k, x, y, table[rows].view(np.uint8).T.tobytes()))
+        for key, rows in _group_keys(b, bits):
+            order = np.argsort(key, kind="stable")
+            key, rows = key[order], rows[order]
+            at = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)] if len(key) else np.zeros(1, np.int64)
+            for s, e in zip(at[:-1], at[1:]):
+                k = int(key[s])
+                if k not in parts:
+                    put(k, 0, 0, rows[s:e])
+                    continue
+                for x, y, within in _cells(table[rows[s:e], 0], parts[k])[1]:
+                    if within.any():
+                        put(k, x, y, rows[s:e][within])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["key", "x", "y", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            key, ids, c0, c1, f, size = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            if not len(key):
-                continue
-            code = np.where((key & 0x1FFF) < titles, c1, c0).view(np.uint64)
-            want = np.clip(np.ceil(np.log2(np.maximum(2, size / mean_block))), 1, 24).astype(np.int64)
-            out = []
-            for k in range(SUBTABLES):
-                place = np.random.default_rng(1000 + k).permutation(64)
-                sub = np.zeros(len(key), np.uint64)
-                for w in range(24):
-                    sub = np.where(w < want, sub << np.uint64(1) | (code >> np.uint64(place[w])) & np.uint64(1), sub)
-                mixed = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((sub + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) ^ (np.uint64(k + 1) << np.uint64(57))
-                out.append((mixed.view(np.int64), ids, c0, c1, f))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "id", "c0", "c1", "facts"])
+            held += [b] if b.num_rows else []
+            if sum(x.num_rows for x in held) >= 50_000:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
 
     return run
 
 
-def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, x, y, ids, c0, c1, f, part in _runs(batches, 3):
-        i, j, kind = near_pairs(c0.view(np.uint64), c1.view(np.uint64), f.view(np.uint64), part if x[0] != y[0] else None, SUB_NEAR)
-        if len(i):
-            yield _out(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), kind=kind)
+def _compare_blocks(bits: int, parts: dict[int, int]):
+    """Near pairs of each block, each in the first group of tables where it meets."""
+
+    def compared(k: int, x: int, y: int, blobs: list[bytes]) -> pa.RecordBatch | None:
+        t = np.concatenate([np.frombuffer(v, np.uint8).reshape(32, -1).T for v in blobs])
+        if len(t) < 2:
+            return None
+        ids, c0, c1, f = np.ascontiguousarray(t).view(np.uint64).T.copy()
+        view, _, first, own = layout(bits)[k >> TABLE_BITS]
+        part = _cells(ids, parts[k])[0] if x != y else None
+        i, j, kind = near_pairs(ids.view(np.int64), c0, c1, f, [_taken((c0, c1)[view], places) for places in own], part)
+        new = first_met(c0[i] ^ c0[j], c1[i] ^ c1[j], first, bits)
+        left, right = (ids[z[new]].view(np.int64) for z in (i, j))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(kind[new].astype(np.int32))], names=["i", "j", "kind"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for *at, v in zip(*(c.to_pylist() for c in b.columns)):
+                if at != now:
+                    if held and (out := compared(*now, held)):
+                        yield out
+                    now, held = at, []
+                held.append(v)
+        if held and (out := compared(*now, held)):
+            yield out
+
+    return run
 
 
 def _rows_of(b: pa.RecordBatch) -> list[tuple]:
@@ -751,32 +840,21 @@ def _count_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
 
-def _encode(shared, bits: int, hot=None):
-    """(key, id, c0, c1, facts, kind) of every node and table; kind 1 marks the keys in ``hot``."""
+def _encode(shared):
+    """(id, c0, c1, facts, told) of every node; told is whether it has attributes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embedder, centers = shared.value
-        many = hot.value if hot is not None else {}
-        names = np.array(sorted(many), np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
             parts = _rows_of(b)
             steps = [embedder.views(parts[k : k + 2000]) for k in range(0, len(parts), 2000)]
-            title, rest = (np.concatenate([v[i] for v in steps]) - centers[i] for i in (0, 1))
-            keys, c0, c1 = block_rows(title, rest, bits)
+            c0, c1 = codes(*(np.concatenate([v[i] for v in steps]) - centers[i] for i in (0, 1)))
             year = np.array([y or 0 for y in b.column("year").to_pylist()])
             f = facts(b.column("source").to_numpy(), year, *(b.column(c).to_pylist() for c in ("vol", "page", "doi")))
-            ids, k = b.column("id").to_numpy(), keys.shape[1]
-            # without attributes the second view has no direction
-            use = np.ones(keys.shape, bool)
-            use[:, tables(bits)["title"] :] = np.array([bool(r[1] or r[2]) for r in parts])[:, None]
-            use = use.ravel()
-            cols = [keys.ravel().view(np.int64), np.repeat(ids, k), np.repeat(c0, k).view(np.int64), np.repeat(c1, k).view(np.int64), np.repeat(f, k).view(np.int64)]
-            cols = [c[use] for c in cols]
-            big = np.isin(cols[0], names) if len(names) else np.zeros(len(cols[0]), bool)
-            kind = big.astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(kind)], names=["key", "id", "c0", "c1", "facts", "kind"])
+            told = pa.array([bool(r[1] or r[2]) for r in parts])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x.view(np.int64)) for x in (c0, c1, f)), told], names=["id", "c0", "c1", "facts", "told"])
 
     return run
 
@@ -798,7 +876,7 @@ def _sum_views(shared):
     return run
 
 
-_KEYED = "key long, id long, c0 long, c1 long, facts long, kind int"
+_CODED = "id long, c0 long, c1 long, facts long, told boolean"
 
 
 def _score(shared):
@@ -897,37 +975,23 @@ def matches(records: DataFrame, big: int = BIG, mean_block: int = MEAN_BLOCK, ac
     of_tokens = spark.sparkContext.broadcast(counts)
     moved = train(nodes.select(*names), of_tokens, n) if trained else np.zeros((SLOTS, DIM), np.float32)
     embedder = Embedder(moved, counts, n)
-    bits = int(np.clip(round(math.log2(max(2, n / mean_block))), 4, 26))
+    bits = int(np.clip(round(math.log2(max(2, n / mean_block))), KEY_BITS, 26))
     keyed = nodes.select(*names, "source")
-    # a sample by hash tells the centres of the vectors, on which only the evenness of the keys depends, and the keys that many
-    # records share; these are divided before the shuffle
+    # a sample by hash tells the centres of the vectors, on which only the evenness of the keys depends
     share = PROBED / n
     probe = keyed if share >= 1 else keyed.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     sums = [np.frombuffer(r["v"], np.float64) for r in probe.mapInArrow(_sum_views(spark.sparkContext.broadcast(embedder)), "v binary").collect()]  # one row a task
     middle = np.sum(sums, 0)
     centers = tuple((middle[k * DIM : (k + 1) * DIM] / max(1.0, middle[-1])).astype(np.float32) for k in (0, 1))
     shared = spark.sparkContext.broadcast((embedder, centers))
-    seen = probe.mapInArrow(_encode(shared, bits), _KEYED).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > (big if share >= 1 else max(PROBED * HOT_SHARE, big * share)))
-    hot = spark.sparkContext.broadcast({r["key"]: r["n"] for r in seen.collect()})  # at most tables / HOT_SHARE keys
-    rows = keyed.mapInArrow(_encode(shared, bits, hot), _KEYED)
-    cold, warm = rows, None
-    if hot.value:
-        # hot rows go straight to the second blocking
-        warm = rows.filter("kind = 1").drop("kind")
-        cold = rows.filter("kind = 0")
-    blocked = settle(cold.drop("kind").repartition("key").sortWithinPartitions("key").mapInArrow(_compare_blocks(big, bits), _PAIR), "blocks")
-    pairs = blocked.filter("kind <> 1").select("i", "j", "kind")
-    over = blocked.filter("kind = 1").select(F.col("j").alias("key"), F.col("i").alias("id"), "c0", "c1", "facts")
-    over = over if warm is None else settle(over.unionByName(warm), "over")
-    if not over.isEmpty():
-        size = over.groupBy("key").agg(F.count("*").alias("size"))
-        again = settle(over.join(size, "key").mapInArrow(_again(bits, mean_block), "key long, id long, c0 long, c1 long, facts long"), "again")
-        parts = again.groupBy("key").agg(F.ceil(F.count("*") / big).cast("int").alias("g")).filter("g > 1")
-        o = again.join(parts, "key", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), "g").cast("int"))
-        o = o.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        cells = o.select("key", F.least("x", "part").alias("x"), F.greatest("x", "part").alias("y"), "id", "c0", "c1", "facts", "part")
-        pairs = pairs.unionByName(cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_compare_cells, _PAIR).select("i", "j", "kind"))
-    pairs = pairs.groupBy("i", "j").agg(F.min("kind").alias("kind"))
+    coded = settle(keyed.mapInArrow(_encode(shared), _CODED), "codes")
+    parts: dict[int, int] = {}
+    if n > big:
+        sizes = coded.mapInArrow(_count_keys(bits), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > big)
+        parts = {r["key"]: -(-r["n"] // big) for r in sizes.collect()}  # keys are at most groups << TABLE_BITS
+    tasks = max(1, min(4096, math.ceil(n * len(layout(bits)) / BLOCK_ROWS)))
+    dealt = coded.mapInArrow(_deal(bits, parts), _DEALT).repartition(tasks, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    pairs = settle(dealt.mapInArrow(_compare_blocks(bits, parts), _PAIR), "blocks")
     l = nodes.select(*[F.col(c).alias("l_" + c) for c in names])
     r = nodes.select(*[F.col(c).alias("r_" + c) for c in names])
     both = pairs.join(l, F.col("i") == F.col("l_id")).join(r, F.col("j") == F.col("r_id")).drop("i", "j")

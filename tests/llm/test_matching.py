@@ -155,3 +155,62 @@ def test_few_labels_leave_the_prior():
     p = lambda w, x: 1 / (1 + np.exp(-(w[0] + np.dot(w[1:], x))))
     for w in (M.PRIOR, M.calibrate([(1, *alike)] * 30 + [(0, *apart)] * 30)):
         assert p(w, alike) > M.ACCEPT > 0.5 > p(w, apart)
+
+
+def _works(k, seed):
+    """Records of ``k`` works under few titles, some of them twice, with missing years, volumes and pages."""
+    rng = random.Random(seed)
+    some = lambda x, p: None if rng.random() < p else x
+    titles = ["Editorial on the state of renal care", "Reply to the letter on dialysis", T]
+    rows = []
+    for i in range(k):
+        name, title = "".join(rng.choice("abcdefghijklmnop") for _ in range(10)), rng.choice(titles)
+        facts = (1990 + i % 30, str(i % 50), str(rng.randrange(10**4)))
+        for n in range(2 if i % 4 == 0 else 1):
+            year, vol, page = (some(x, 0.2) for x in facts)
+            rows.append(row(2 * i + n, f"source {n}", title, f'["{name}, A", "Co{name}, B"]', f"Annals of Place{i % 40}", year, vol, page, doi=some(f"10.1000/{i}.{n}", 0.5)))
+    return rows
+
+
+def test_results_do_not_depend_on_the_size_of_blocks(spark):
+    """All pairs of a block count by one rule; the block is only divided for the work."""
+    df = spark.createDataFrame(_works(500, 5), COLUMNS)
+    whole, cells = ({tuple(r) for r in M.matches(df, big=big, accept=0.01).collect()} for big in (10**6, 25))
+    assert whole and whole == cells
+
+
+@pytest.mark.parametrize("bits", [6, 10])
+def test_near_pairs_are_those_of_all_pairs(bits):
+    rng = np.random.default_rng(bits)
+    n = 800
+    middle = rng.standard_normal((20, M.DIM)).astype(np.float32)
+    x, y = (middle[rng.integers(0, 20, n)] + 0.6 * rng.standard_normal((n, M.DIM)).astype(np.float32) for _ in range(2))
+    keys, c0, c1 = M.block_rows(x, y, bits)
+    texts = lambda most: [str(v) if v else None for v in rng.integers(0, most, n)]
+    f = M.facts(rng.integers(0, 4, n), np.where(rng.random(n) < 0.2, 0, rng.integers(1990, 2000, n)), texts(6), texts(6), texts(4))
+    ids, want = rng.permutation(10**6)[:n], set()
+    src, year, vol, page, doi = (M._field(f, *w).astype(int) for w in ((44, 20), (36, 8), (26, 10), (14, 12), (0, 14)))
+    drawn = (doi > 0) & ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(M.DRAWN) == 0)
+    for a in range(n):
+        for b in range(a + 1, n):
+            differ = lambda z: z[a] and z[b] and z[a] != z[b]
+            same = lambda z: z[a] and z[a] == z[b]
+            if int(c0[a] ^ c0[b]).bit_count() + int(c1[a] ^ c1[b]).bit_count() > M.NEAR_SUM or src[a] == src[b] != 0 or not (keys[a] == keys[b]).any():
+                continue
+            bad = differ(year) and abs(year[a] - year[b]) > 2 or differ(vol) and not same(page) or differ(page) and not same(vol)
+            if differ(doi):
+                if drawn[a] or drawn[b]:
+                    want.add((a, b, 2))
+            elif not bad:
+                want.add((a, b, 0))
+    got = []
+    for view, shared, first, own in M.layout(bits):
+        code = (c0, c1)[view]
+        block = M._taken(code, shared)
+        for k in set(block.tolist()):
+            rows = np.flatnonzero(block == k)
+            i, j, kind = M.near_pairs(ids[rows], c0[rows], c1[rows], f[rows], [M._taken(code[rows], places) for places in own])
+            i, j = rows[i], rows[j]
+            new = M.first_met(c0[i] ^ c0[j], c1[i] ^ c1[j], first, bits)
+            got += zip(i[new].tolist(), j[new].tolist(), kind[new].tolist())
+    assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
