@@ -34,8 +34,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.copies import plain_doi
@@ -183,9 +184,14 @@ def features(records: DataFrame) -> DataFrame:
 _TABLE = np.random.default_rng(23).standard_normal((1 << 14, DIM)).astype(np.float32)
 
 
+@lru_cache(1 << 18)
+def _gram_row(gram: str) -> int:
+    return xxhash.xxh32_intdigest(gram) & 0x3FFF
+
+
 def _gram_rows(word: str) -> list[int]:
     g = f"^{word}$"
-    return [xxhash.xxh32_intdigest(g[i : i + 3]) & 0x3FFF for i in range(max(1, len(g) - 2))]
+    return [_gram_row(g[i : i + 3]) for i in range(max(1, len(g) - 2))]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -203,11 +209,45 @@ def slots_of(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) % SLOTS for w in words), np.int64, len(words))
 
 
-def nodes_of(t: str, a: str, j: str, year: int | None, vol: str | None, page: str | None) -> tuple[list[str], list[str]]:
-    """(title tokens, attribute nodes) of a record."""
-    rest = ["a:" + x.split("/")[0] for x in a.split()] + ["j:" + w for w in j.split()]
-    rest += [f"{k}:{v}" for k, v in (("y", year), ("v", vol), ("p", page)) if v]
-    return [w for w in t.split() if w not in "…�"], rest
+def _nodes(b: pa.RecordBatch) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """The different nodes of a batch, and for its title tokens and its attribute nodes (number of the node, row), row by row.
+
+    A token keeps its spelling as name; the attributes are ``a:`` surname, ``j:`` journal word, ``y:`` year, ``v:`` volume, ``p:`` page.
+    """
+    col = lambda c: pc.fill_null(b.column(c).cast(pa.string()), "")
+
+    def words(c: str) -> tuple[pa.Array, np.ndarray]:
+        lists = pc.split_pattern(col(c), " ")
+        flat, rows = pc.list_flatten(lists), pc.list_parent_indices(lists)
+        some = pc.invert(pc.is_in(flat, pa.array(["", "…", "�"])))
+        return flat.filter(some), rows.filter(some).to_numpy()
+
+    def value(c: str) -> tuple[pa.Array, np.ndarray]:
+        some = pc.not_equal(col(c), "0" if c == "year" else "")
+        some = pc.and_(some, pc.not_equal(col(c), ""))
+        return col(c).filter(some), np.flatnonzero(some.to_numpy(zero_copy_only=False))
+
+    title, (a, a_rows) = words("t"), words("a")
+    rest = [(pc.list_element(pc.split_pattern(a, "/", max_splits=1), 0), a_rows), words("j"), *(value(c) for c in ("year", "vol", "page"))]
+    named = [pc.binary_join_element_wise(pa.scalar(f"{k}:"), x, pa.scalar("")) for k, (x, _) in zip("ajyvp", rest)]
+    coded = pa.concat_arrays([title[0], *named]).dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    rows = np.concatenate([r for _, r in rest])
+    order = np.argsort(rows, kind="stable")
+    return coded.dictionary.to_pylist(), [(code[: len(title[1])], title[1]), (code[len(title[1]) :][order], rows[order])]
+
+
+def _different(n: int, views: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(node, row) of the different nodes of each row, in the order in which the row has them; ``n`` nodes in all."""
+    code, rows = (np.concatenate([v[k] for v in views]) for k in (0, 1))
+    order = np.argsort(rows, kind="stable")
+    code, rows = code[order], rows[order]
+    first = np.sort(np.unique(rows * n + code, return_index=True)[1])
+    return code[first], rows[first]
+
+
+def _count_slots(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh32_intdigest(w) % COUNT_SLOTS for w in words), np.int64, len(words))
 
 
 def _add(to: np.ndarray, at: np.ndarray, what: np.ndarray, most: float = 8.0) -> None:
@@ -221,24 +261,25 @@ def _add(to: np.ndarray, at: np.ndarray, what: np.ndarray, most: float = 8.0) ->
 
 def learnt(lists: list[list[str]], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(slots, what the nodes in them moved) of one shard of records, each a list of its different nodes."""
-    rng = np.random.default_rng(seed)
     lists = [x for x in lists if x]
-    vocab: dict[str, int] = {}
-    for x in lists:
-        for w in x:
-            vocab.setdefault(w, len(vocab))
+    return _learnt(pa.array([w for x in lists for w in x], pa.string()), np.fromiter(map(len, lists), np.int64, len(lists)), seed)
+
+
+def _learnt(words: pa.Array, n: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``learnt`` of the nodes of all records, one record after the other, of which each has ``n``."""
+    rng = np.random.default_rng(seed)
+    coded = words.dictionary_encode()
+    vocab, flat = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
     if not vocab:
         return np.zeros(0, np.int64), np.zeros((0, DIM), np.float32)
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((vocab[w] for x in lists for w in x), np.int64, int(n.sum()))
     first = np.cumsum(n) - n
     by_node = np.argsort(flat, kind="stable")
     deg = np.bincount(flat, minlength=len(vocab))
     node_first = np.cumsum(deg) - deg
-    record_of = np.repeat(np.arange(len(lists)), n)[by_node]
+    record_of = np.repeat(np.arange(len(n)), n)[by_node]
     pick = lambda start, size: start + (rng.random(len(start)) * size).astype(np.int64)
     # a walk goes record -> node -> record -> node ...; its nodes are the sequence
-    at, path = np.tile(np.arange(len(lists)), WALKS), []
+    at, path = np.tile(np.arange(len(n)), WALKS), []
     for _ in range(STEPS):
         node = flat[pick(first[at], n[at])]
         path.append(node)
@@ -250,7 +291,7 @@ def learnt(lists: list[list[str]], seed: int = 7) -> tuple[np.ndarray, np.ndarra
     other = np.flatnonzero(c != o)
     mix = other[rng.permutation(len(other))]
     c, o = c[mix], o[mix]
-    begin = spelling(list(vocab))
+    begin = spelling(vocab)
     vec, out = begin.copy(), begin.copy()
     cdf = np.cumsum(deg**0.75 / (deg**0.75).sum())
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -20, 20)))
@@ -264,7 +305,7 @@ def learnt(lists: list[list[str]], seed: int = 7) -> tuple[np.ndarray, np.ndarra
         _add(out, np.concatenate([oi, neg]), np.concatenate([up * v, down.T @ v]))
     moved = vec - begin
     moved -= moved.mean(0)
-    slots = slots_of(list(vocab))
+    slots = slots_of(vocab)
     order = np.argsort(slots, kind="stable")
     head = np.flatnonzero(np.r_[True, np.diff(slots[order]) > 0])
     size = np.diff(np.r_[head, len(order)])[:, None]
@@ -276,13 +317,21 @@ def _sharded(counts):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, texts = [], []
-            for r in _rows_of(b):
-                nodes = list(dict.fromkeys(sum(nodes_of(*r), [])))
-                told = [(counts.value[xxhash.xxh32_intdigest(w) % COUNT_SLOTS], w) for w in nodes]
-                rare = min((x for x in told if x[0] > 1), default=min(told, default=(0, "")))[1]
-                keys.append(xxhash.xxh32_intdigest(rare)), texts.append("\x1f".join(nodes))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], names=["shard", "nodes"])
+            words, views = _nodes(b)
+            code, rows = _different(len(words), views)
+            n = np.bincount(rows, minlength=b.num_rows)
+            held = np.flatnonzero(n)
+            keys = np.full(b.num_rows, xxhash.xxh32_intdigest(""), np.int64)
+            if len(held):
+                met = counts.value[_count_slots(words)].astype(np.int64)
+                by_name = pc.sort_indices(pa.array(words, pa.string())).to_numpy().astype(np.int64)
+                rank = np.empty(len(words), np.int64)
+                rank[by_name] = np.arange(len(words))
+                # nodes of one record come last, then the rarest first
+                least = np.minimum.reduceat(((met <= 1).astype(np.int64) << 62 | met << 26 | rank)[code], (np.cumsum(n) - n)[held])
+                keys[held] = np.fromiter((xxhash.xxh32_intdigest(words[k]) for k in by_name[least & (1 << 26) - 1]), np.int64, len(held))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(words, pa.string()).take(pa.array(code)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pc.binary_join(lists, "\x1f")], names=["shard", "nodes"])
 
     return run
 
@@ -295,7 +344,8 @@ def _train_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def close() -> None:
         if held:
-            at, moved = learnt([x.split("\x1f") for x in held], 7 + (now or 0))
+            lists = pc.split_pattern(pa.array(held, pa.string()), "\x1f")
+            at, moved = _learnt(pc.list_flatten(lists), pc.list_value_length(lists).to_numpy().astype(np.int64), 7 + (now or 0))
             total[at] += moved
             n[at] += 1
             held.clear()
@@ -352,31 +402,31 @@ class Embedder:
         new = [w for w in dict.fromkeys(words) if w not in self.memo]
         if not new:
             return
-        slots = np.fromiter((xxhash.xxh32_intdigest(w) % COUNT_SLOTS for w in new), np.int64, len(new))
+        slots = _count_slots(new)
         weight = np.maximum(0.1, np.log((self.records + 1) / (self.counts[slots] + 0.5))) ** 0.75
         made = (_unit(spelling(new) + self.trained[slots_of(new)]) * weight[:, None]).astype(np.float32)
         start = len(self.rows)
         self.rows = np.concatenate([self.rows, made])
         self.memo.update((w, start + i) for i, w in enumerate(new))
 
-    def sums(self, lists: list[list[str]]) -> np.ndarray:
-        """The unit vector of each list of tokens; zero for an empty one."""
-        words = [w for x in lists for w in x]
+    def views(self, b: pa.RecordBatch) -> list[np.ndarray]:
+        """[title vectors, attribute vectors] of the rows, unit vectors each; zero for a row without tokens."""
+        words, views = _nodes(b)
         self._learn(words)
         if any(w not in self.memo for w in words):
             self._learn(words)
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        out = np.zeros((len(lists), DIM), np.float32)
-        if words:
-            at = np.fromiter((self.memo[w] for w in words), np.int64, len(words))
-            some = np.flatnonzero(n)
-            out[some] = np.add.reduceat(self.rows[at], (np.cumsum(n) - n)[some], axis=0)
-        return out / np.maximum(1e-6, np.linalg.norm(out, axis=1, keepdims=True))
-
-    def views(self, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        """(title vectors, attribute vectors) of rows (t, a, j, year, vol, page)."""
-        both = [nodes_of(*r) for r in rows]
-        return self.sums([b[0] for b in both]), self.sums([b[1] for b in both])
+        place = np.fromiter((self.memo[w] for w in words), np.int64, len(words))
+        made = []
+        for code, rows in views:
+            n = np.bincount(rows, minlength=b.num_rows)
+            first, some = np.cumsum(n) - n, np.flatnonzero(n)
+            out = np.zeros((b.num_rows, DIM), np.float32)
+            for s in range(0, len(some), 2000):  # so many rows at once bound the memory
+                k = some[s : s + 2000]
+                low, high = first[k[0]], first[k[-1]] + n[k[-1]]
+                out[k] = np.add.reduceat(self.rows[place[code[low:high]]], first[k] - low, axis=0)
+            made.append(out / np.maximum(1e-6, np.linalg.norm(out, axis=1, keepdims=True)))
+        return made
 
 
 # ---------------------------------------------------------------- exact comparison
@@ -421,12 +471,12 @@ def _pair_off(x: list[str], y: list[str], cut: bool) -> tuple[list[str], list[st
     for left, right in ((x, y), (y, x)):
         for w in list(left):
             for i in range(len(right) - 1):
-                if distance(w, right[i] + right[i + 1], 1) < 2:
+                if abs(len(w) - len(right[i]) - len(right[i + 1])) < 2 and distance(w, right[i] + right[i + 1], 1) < 2:
                     left.remove(w)
                     del right[i : i + 2]
                     break
     for w in list(x):
-        near = [(distance(w, v, 2), v) for v in y if min(len(w), len(v)) >= 4 and not (w + v).isdigit()]
+        near = [(distance(w, v, 2), v) for v in y if min(len(w), len(v)) >= 4 and abs(len(w) - len(v)) <= 2 and len(set(w) ^ set(v)) <= 4 and not (w + v).isdigit()]
         near = [(d, v) for d, v in near if d <= (2 if min(len(w), len(v)) >= 8 else 1)]
         if near:
             d, v = min(near)
@@ -475,6 +525,15 @@ def titles_agree(t1: str, t2: str) -> float:
     return 0.5
 
 
+def _surnames_agree(s: str, s2: str) -> bool:
+    # one edit leaves the first or the last letter
+    if s == s2 or len(s) > 4 and (s[0] == s2[0] or s[-1] == s2[-1]) and edits(s, s2) < 2:
+        return True
+    if len(s) > 8 and abs(len(s) - len(s2)) <= 2 and len(set(s) ^ set(s2)) <= 4 and distance(s, s2, 2) < 3:
+        return True
+    return min(len(s), len(s2)) > 5 and (s.endswith(s2) or s2.endswith(s))
+
+
 def authors_agree(a1: str, a2: str) -> float | None:
     """The share of the shorter list that the other one has, None if either is missing."""
     x, y = [p.split("/") for p in a1.split()], [p.split("/") for p in a2.split()]
@@ -485,7 +544,7 @@ def authors_agree(a1: str, a2: str) -> float | None:
     left, hits = list(y), 0
     for s, g in x:
         for k, (s2, g2) in enumerate(left):
-            if (s == s2 or (len(s) > 4 and edits(s, s2) < 2) or (len(s) > 8 and distance(s, s2, 2) < 3) or (min(len(s), len(s2)) > 5 and (s.endswith(s2) or s2.endswith(s)))) and (not g or not g2 or g == g2 or s == s2):
+            if (not g or not g2 or g == g2 or s == s2) and _surnames_agree(s, s2):
                 hits += 1 if not g or not g2 or g == g2 else 0.5
                 del left[k]
                 break
@@ -525,19 +584,49 @@ def contradicted(p: dict, q: dict) -> bool:
 SCORES = ("title", "unread", "authors", "journal", "year", "vol", "page", "iss", "places", "other", "other_alike", "short", "strangers", "elsewhere")
 
 
-def compare(p: dict, q: dict) -> list[float]:
-    """``SCORES`` of two feature rows: 1 for agreement, -1 for difference, 0 where one has nothing to compare."""
-    t = titles_agree(p["t"], q["t"])
-    a, j = authors_agree(p["a"], q["a"]), journals_agree(p["j"], q["j"])
+class Bound:
+    """The most that scores which are not yet known can add, by the weights of the calibration (constant first)."""
+
+    def __init__(self, w: np.ndarray):
+        self.w = {c: float(x) for c, x in zip(("", "cos_title", "cos_rest", *SCORES), w)}
+        up = lambda *names: max(0.0, *(self.w[c] for c in names))
+        self.known = [self.w[c] for c in ("year", "vol", "page", "iss", "places")]
+        self.free = self.w[""] + 1e-4 + abs(self.w["cos_title"]) + abs(self.w["cos_rest"])
+        self.people = abs(self.w["authors"]) + abs(self.w["journal"]) + up("strangers") + up("elsewhere")
+        # titles that agree in nothing, or in something; with words of another work or without
+        self.titles = [max(self.w["unread"] + o * self.w["other"], up("title") + o * max(self.w["other"], self.w["other_alike"])) for o in (0, 1)]
+        self.words = max(self.titles) + up("short")
+
+
+def compare(p: dict, q: dict, bound: Bound | None = None, least: float = -math.inf) -> list[float] | None:
+    """``SCORES`` of two feature rows: 1 for agreement, -1 for difference, 0 where one has nothing to compare.
+
+    None if by ``bound`` nothing that is still to be compared can bring the sum of the weighted scores to ``least``.
+    """
     vol, page, iss = (0.0 if not p[k] or not q[k] else 1.0 if p[k] == q[k] else -1.0 for k in ("vol", "page", "iss"))
     year = 0.0 if not p["year"] or not q["year"] else (1.0, 0.5, -0.5, -1.0)[min(3, abs(p["year"] - q["year"]))]
-    w1, w2 = (set(x["t"].rstrip(" …�").split()) for x in (p, q))
-    other = float(any(w in _OTHER_WORK or w[0].isdigit() for w in w1 ^ w2))
-    short = float(min(len(p["t"]), len(q["t"])) < 30 and min(len(w1), len(w2)) <= 3 and p["t"].isascii() and q["t"].isascii())
+    places = vol * page if vol > 0 else 0.0
+    most = 0.0
+    if bound:
+        most = bound.free + sum(k * x for k, x in zip(bound.known, (year, vol, page, iss, places)))
+        if most + bound.people + bound.words < least:
+            return None
+    a, j = authors_agree(p["a"], q["a"]), journals_agree(p["j"], q["j"])
+    authors, journal = 0.0 if a is None else 2 * a - 1, 0.0 if j is None else 1.0 if j else -1.0
     # other authors, or another journal without authors to tell, where volume and page don't both agree
     held = vol > 0 and page > 0
     strangers, elsewhere = float(not held and a is not None and a < 0.34), float(not held and j is False and (a is None or a < 0.5))
-    return [t, float(t == 0), 0.0 if a is None else 2 * a - 1, 0.0 if j is None else 1.0 if j else -1.0, year, vol, page, iss, vol * page if vol > 0 else 0.0, other * (t < 0.6), other * (t >= 0.6), short, strangers, elsewhere]
+    if bound:
+        most += bound.w["authors"] * authors + bound.w["journal"] * journal + bound.w["strangers"] * strangers + bound.w["elsewhere"] * elsewhere
+        if most + bound.words < least:
+            return None
+    w1, w2 = (set(x["t"].rstrip(" …�").split()) for x in (p, q))
+    other = float(any(w in _OTHER_WORK or w[0].isdigit() for w in w1 ^ w2))
+    short = float(min(len(p["t"]), len(q["t"])) < 30 and min(len(w1), len(w2)) <= 3 and p["t"].isascii() and q["t"].isascii())
+    if bound and most + bound.titles[int(other)] + bound.w["short"] * short < least:
+        return None
+    t = titles_agree(p["t"], q["t"])
+    return [t, float(t == 0), authors, journal, year, vol, page, iss, places, other * (t < 0.6), other * (t >= 0.6), short, strangers, elsewhere]
 
 
 # ---------------------------------------------------------------- blocks
@@ -643,6 +732,8 @@ def _field(x: np.ndarray, shift: int, width: int) -> np.ndarray:
 
 #: One of so many records is compared with all others in its blocks whatever their facts say, for the calibration.
 DRAWN = 211
+#: Where so many records would be more than this number, fewer are drawn: the calibration takes no more pairs from more records.
+MOST_DRAWN = 1000
 
 
 def _spread(first: np.ndarray, count: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -689,7 +780,7 @@ def _across(x: np.ndarray, y: np.ndarray, base: np.ndarray, year: np.ndarray | N
             yield x[of[k]], y[at]
 
 
-def near_pairs(ids: np.ndarray, c0: np.ndarray, c1: np.ndarray, f: np.ndarray, met: list[np.ndarray], part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_pairs(ids: np.ndarray, c0: np.ndarray, c1: np.ndarray, f: np.ndarray, met: list[np.ndarray], part: np.ndarray | None = None, drawn_of: int = DRAWN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, kind) of all pairs i < j that have one of the keys ``met`` in common, are from different sources and have enough equal
     bits and no contradiction in their facts; with ``part`` only pairs across two parts count.
 
@@ -698,7 +789,7 @@ def near_pairs(ids: np.ndarray, c0: np.ndarray, c1: np.ndarray, f: np.ndarray, m
     """
     n = len(ids)
     src, year, vol, page, doi = (_field(f, s, w).astype(np.int64) for s, w in ((44, 20), (36, 8), (26, 10), (14, 12), (0, 14)))
-    drawn = (doi > 0) & ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(DRAWN) == 0)
+    drawn = (doi > 0) & ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(drawn_of) == 0)
     rows = lambda x: np.flatnonzero(x)
 
     def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -797,7 +888,7 @@ def _deal(bits: int, parts: dict[int, int]):
     return run
 
 
-def _compare_blocks(bits: int, parts: dict[int, int]):
+def _compare_blocks(bits: int, parts: dict[int, int], drawn_of: int):
     """Near pairs of each block, each in the first group of tables where it meets."""
 
     def compared(k: int, x: int, y: int, blobs: list[bytes]) -> pa.RecordBatch | None:
@@ -807,7 +898,7 @@ def _compare_blocks(bits: int, parts: dict[int, int]):
         ids, c0, c1, f = np.ascontiguousarray(t).view(np.uint64).T.copy()
         view, _, first, own = layout(bits)[k >> TABLE_BITS]
         part = _cells(ids, parts[k])[0] if x != y else None
-        i, j, kind = near_pairs(ids.view(np.int64), c0, c1, f, [_taken((c0, c1)[view], places) for places in own], part)
+        i, j, kind = near_pairs(ids.view(np.int64), c0, c1, f, [_taken((c0, c1)[view], places) for places in own], part, drawn_of)
         new = first_met(c0[i] ^ c0[j], c1[i] ^ c1[j], first, bits)
         left, right = (ids[z[new]].view(np.int64) for z in (i, j))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(kind[new].astype(np.int32))], names=["i", "j", "kind"])
@@ -827,15 +918,11 @@ def _compare_blocks(bits: int, parts: dict[int, int]):
     return run
 
 
-def _rows_of(b: pa.RecordBatch) -> list[tuple]:
-    return list(zip(*(b.column(c).to_pylist() for c in ("t", "a", "j", "year", "vol", "page"))))
-
-
 def _count_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(COUNT_SLOTS, np.int64)
     for b in batches:
-        slots = [xxhash.xxh32_intdigest(w) % COUNT_SLOTS for r in _rows_of(b) for w in set(sum(nodes_of(*r), []))]
-        total += np.bincount(np.array(slots, np.int64), minlength=COUNT_SLOTS)
+        words, views = _nodes(b)
+        np.add.at(total, _count_slots(words), np.bincount(_different(len(words), views)[0], minlength=len(words)))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
@@ -848,12 +935,10 @@ def _encode(shared):
         for b in batches:
             if not b.num_rows:
                 continue
-            parts = _rows_of(b)
-            steps = [embedder.views(parts[k : k + 2000]) for k in range(0, len(parts), 2000)]
-            c0, c1 = codes(*(np.concatenate([v[i] for v in steps]) - centers[i] for i in (0, 1)))
-            year = np.array([y or 0 for y in b.column("year").to_pylist()])
+            c0, c1 = codes(*(v - center for v, center in zip(embedder.views(b), centers)))
+            year = pc.fill_null(b.column("year"), 0).to_numpy()
             f = facts(b.column("source").to_numpy(), year, *(b.column(c).to_pylist() for c in ("vol", "page", "doi")))
-            told = pa.array([bool(r[1] or r[2]) for r in parts])
+            told = pc.or_(*(pc.not_equal(pc.fill_null(b.column(c), ""), "") for c in ("a", "j")))
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x.view(np.int64)) for x in (c0, c1, f)), told], names=["id", "c0", "c1", "facts", "told"])
 
     return run
@@ -865,12 +950,10 @@ def _sum_views(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * DIM + 1)
         for b in batches:
-            parts = _rows_of(b)
-            for k in range(0, len(parts), 2000):
-                t, r = shared.value.views(parts[k : k + 2000])
-                total[:DIM] += t.sum(0)
-                total[DIM:-1] += r.sum(0)
-            total[-1] += len(parts)
+            t, r = shared.value.views(b)
+            total[:DIM] += t.sum(0)
+            total[DIM:-1] += r.sum(0)
+            total[-1] += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
     return run
@@ -879,50 +962,46 @@ def _sum_views(shared):
 _CODED = "id long, c0 long, c1 long, facts long, told boolean"
 
 
-def _score(shared):
+_CALIBRATED = ["cos_title", "cos_rest", *SCORES]
+_HALF = [x.split()[0] for x in FEATURES.split(", ")]
+
+
+def _score(shared, w: np.ndarray | None = None, accept: float = 0.0):
+    """The scores of pairs with their label; with the weights ``w``, the pairs of ``accept`` or more with their confidence."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embedder, _ = shared.value
-        half = ["id", "src", "cat", "t", "a", "j", "year", "vol", "iss", "page", "doi", "pmid", "pmcid"]
+        bound, least = (None, -math.inf) if w is None else (Bound(w), math.log(accept / (1 - accept)) if 0 < accept < 1 else math.inf if accept >= 1 else -math.inf)
         for b in batches:
-            left = [dict(zip(half, r)) for r in zip(*(b.column("l_" + c).to_pylist() for c in half))]
-            right = [dict(zip(half, r)) for r in zip(*(b.column("r_" + c).to_pylist() for c in half))]
-            out: list[tuple] = []
-            kept: list[tuple[dict, dict]] = []
-            for p, q, kind in zip(left, right, b.column("kind").to_pylist()):
-                if p["src"] == q["src"]:
-                    continue
-                linked = any(p[k] and p[k] == q[k] for k in ("doi", "pmid", "pmcid"))
-                ruled_out = contradicted(p, q)
-                if linked or kind == 2:
-                    # a pair that identifiers decide; two ids of which one says yes and one no decide nothing
-                    if linked == ruled_out or len({p["cat"], q["cat"]} & {"conference", "correction"}) and p["cat"] != q["cat"]:
-                        continue
-                    label = int(linked)
-                elif ruled_out:
-                    continue
-                else:
-                    label = None
-                scores = compare(p, q)
-                if label is None and scores[0] == 0 and scores[5] <= 0 and scores[6] <= 0:
-                    continue  # other titles and no common volume or page
-                kept.append((p, q))
-                out.append((p["id"], q["id"], label, *scores))
+            left, right = ([dict(zip(_HALF, r)) for r in zip(*(b.column(s + c).to_pylist() for c in _HALF))] for s in ("l_", "r_"))
+            kept, scores = [], []
+            for k, (p, q) in enumerate(zip(left, right)):
+                x = compare(p, q, bound, least)
+                if x is None or bound and x[0] == 0 and x[5] <= 0 and x[6] <= 0:
+                    continue  # too little in common, or other titles and no common volume or page
+                kept.append(k)
+                scores.append(x)
+            if not kept:
+                continue
+            rows = b.take(pa.array(kept))
             # a node is in many pairs; its vectors are made once
-            seen = list({x["id"]: x for pq in kept for x in pq}.values())
-            at = {x["id"]: k for k, x in enumerate(seen)}
-            title, rest = embedder.views([tuple(x[k] for k in ("t", "a", "j", "year", "vol", "page")) for x in seen])
-            i, j = (np.fromiter((at[pq[k]["id"]] for pq in kept), np.int64, len(kept)) for k in (0, 1))
-            cols = list(zip(*out)) or [()] * (3 + len(SCORES))
-            cols[3:3] = [(title[i] * title[j]).sum(1).astype(np.float64), (rest[i] * rest[j]).sum(1).astype(np.float64)]
-            kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.float64()] * (2 + len(SCORES))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=_SCORED)
+            ids = [rows.column(s + "id").to_numpy() for s in ("l_", "r_")]
+            seen, first, at = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
+            both = [pa.concat_arrays([rows.column(s + c) for s in ("l_", "r_")]).take(pa.array(first)) for c in ("t", "a", "j", "year", "vol", "page")]
+            title, rest = embedder.views(pa.RecordBatch.from_arrays(both, names=["t", "a", "j", "year", "vol", "page"]))
+            i, j = at[: len(kept)], at[len(kept) :]
+            table = np.column_stack([(title[i] * title[j]).sum(1), (rest[i] * rest[j]).sum(1), np.array(scores)])
+            if w is None:
+                yield pa.RecordBatch.from_arrays([rows.column("label"), *(pa.array(x.copy()) for x in table.T)], names=["label", *_CALIBRATED])
+                continue
+            p = 1 / (1 + np.exp(-(w[0] + table @ w[1:])))
+            good = p >= accept
+            yield pa.RecordBatch.from_arrays([pa.array(ids[0][good]), pa.array(ids[1][good]), pa.array(p[good])], names=["i", "j", "confidence"])
 
     return run
 
 
-_CALIBRATED = ["cos_title", "cos_rest", *SCORES]
-_SCORED = ["i", "j", "label", *_CALIBRATED]
-_SCORED_SCHEMA = "i long, j long, label int, " + ", ".join(f"{c} double" for c in _CALIBRATED)
+_LABELLED = "label int, " + ", ".join(f"{c} double" for c in _CALIBRATED)
 #: The weights (constant first) that the calibration begins from and is pulled to where labelled pairs are few.
 PRIOR = np.array([-1.5, 0.6, 0.3, 0.8, -2.4, 1.5, 1.2, 1.1, 2.5, 1.0, 1.0, 0.5, -2.0, -2.0, -2.0, -4.0, -3.0])
 
@@ -942,15 +1021,39 @@ def calibrate(rows: list[tuple], rounds: int = 30) -> np.ndarray:
     return w
 
 
-def _numbered_sources(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with ``source``, a number of their source from 1; 0 for all if there are too many for the bits of ``facts``,
-    which leaves the comparison of sources to the exact step."""
-    names = nodes.select("src").distinct()
-    numbers = settle(numbered_rows(names, [F.col("src")], "source").select("src", "source"), "sources")
+def _numbered_sources(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """``nodes`` with ``source``, a number from 1 of their source in ``names``; 0 for all if there are too many for the bits of
+    ``facts``, which leaves the comparison of sources to the exact step."""
+    numbers = settle(numbered_rows(names.distinct(), [F.col("src")], "source").select("src", "source"), "sources")
     many = numbers.count() >= 1 << 20
     return nodes.join(numbers, "src").withColumn("source", F.lit(0).cast("long") if many else F.col("source").cast("long"))
 
 
+def _weights(pairs: DataFrame, nodes: DataFrame, n: int, shared) -> np.ndarray:
+    """The weights of the calibration, from the first ``CALIBRATION_PAIRS`` pairs by hash that identifiers decide."""
+    cut = lambda of: F.pmod(F.xxhash64("i", "j"), F.lit(1 << 20)) < int(min(1.0, 2.0 * CALIBRATION_PAIRS / max(1, of)) * (1 << 20))
+    apart = pairs.filter("kind = 2").count()
+    some = settle(pairs.filter((F.col("kind") == 2) & cut(apart) | (F.col("kind") == 0) & cut(n)), "labelled")
+    ids = some.select(F.col("i").alias("id")).union(some.select("j")).distinct()
+    both, linked, clash, _ = _joined(some, nodes.join(F.broadcast(ids), "id", "left_semi"))
+    other = (F.coalesce("l_cat", F.lit("")) != F.coalesce("r_cat", F.lit(""))) & (F.coalesce("l_cat", F.lit("")).isin("conference", "correction") | F.coalesce("r_cat", F.lit("")).isin("conference", "correction"))
+    # two ids of which one says yes and one no decide nothing
+    both = both.filter((linked | (F.col("kind") == 2)) & (linked != clash) & ~other & (F.col("l_src") != F.col("r_src"))).withColumn("label", linked.cast("int"))
+    both = both.orderBy(F.xxhash64("l_id", "r_id"), "l_id", "r_id").limit(CALIBRATION_PAIRS).repartition(8)
+    return calibrate([tuple(x) for x in both.mapInArrow(_score(shared), _LABELLED).collect()])
+
+
+def _joined(pairs: DataFrame, nodes: DataFrame):
+    """(pairs with both feature rows, whether an identifier links them, whether one parts them, whether their kinds do)."""
+    l, r = (nodes.select(*[F.col(c).alias(s + c) for c in _HALF]) for s in ("l_", "r_"))
+    both = pairs.join(l, F.col("i") == F.col("l_id")).join(r, F.col("j") == F.col("r_id")).drop("i", "j")
+    of = lambda f: {c: F.coalesce(f(F.col("l_" + c), F.col("r_" + c)), F.lit(False)) for c in ("doi", "pmid", "pmcid", "vol", "page")}
+    equal, clash = of(lambda x, y: x == y), of(lambda x, y: x != y)
+    kinds = [F.coalesce("l_cat", F.lit("")), F.coalesce("r_cat", F.lit(""))]
+    strict, loose = (kinds[0].isin(*v) | kinds[1].isin(*v) for v in (("conference", "correction"), ("other", "generic")))
+    return both, equal["doi"] | equal["pmid"] | equal["pmcid"], clash["doi"] | clash["pmid"] | clash["pmcid"], (kinds[0] != kinds[1]) & strict & ~(loose & equal["vol"] & equal["page"])
+
+
 def matches(records: DataFrame, big: int = BIG, mean_block: int = MEAN_BLOCK, accept: float = ACCEPT, trained: bool = True) -> DataFrame:
     """(left_record_id, right_record_id, confidence) of records of one work from different sources without a common identifier.
 
@@ -959,12 +1062,14 @@ def matches(records: DataFrame, big: int = BIG, mean_block: int = MEAN_BLOCK, ac
     spark = records.sparkSession
     names = [x.split()[0] for x in FEATURES.split(", ")]
     own = names[1:]
-    raw = settle(features(records).withColumn("h", F.sha2(F.to_json(F.struct(*own)), 256)), "features")
+    raw = settle(features(records).withColumn("h", F.unhex(F.substring(F.sha2(F.to_json(F.struct(*own)), 256), 1, 32))), "features")
     # equal records of one source are one node; ids may repeat
-    reps = raw.groupBy("h").agg(F.min("id").alias("rep"))
-    members = settle(raw.select("h", "id").join(reps, "h").select("rep", "id").distinct(), "members")
-    alone = raw.join(reps, "h", "left").filter("id = rep").dropDuplicates(["id", "h"]).select(*names)
-    nodes = settle(_numbered_sources(alone), "nodes")
+    marks = raw.select("h", "id").repartition("h").groupBy("h", "id").count().withColumn("rep", F.min("id").over(Window.partitionBy("h")))
+    # few rows are not the only one of their node; the others need no shuffle
+    doubled = settle(marks.filter("id <> rep or count > 1"), "doubled")
+    single = raw.join(doubled.select("h", "id"), ["h", "id"], "left_anti").select(*names)
+    first = raw.join(doubled.filter("id = rep").select("h", "id"), ["h", "id"], "left_semi").dropDuplicates(["h", "id"]).select(*names)
+    nodes = settle(_numbered_sources(single.union(first), raw.select("src")), "nodes")
     n = nodes.count()
     empty = spark.createDataFrame([], "left_record_id long, right_record_id long, confidence double")
     if n < 2:
@@ -991,25 +1096,14 @@ def matches(records: DataFrame, big: int = BIG, mean_block: int = MEAN_BLOCK, ac
         parts = {r["key"]: -(-r["n"] // big) for r in sizes.collect()}  # keys are at most groups << TABLE_BITS
     tasks = max(1, min(4096, math.ceil(n * len(layout(bits)) / BLOCK_ROWS)))
     dealt = coded.mapInArrow(_deal(bits, parts), _DEALT).repartition(tasks, "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    pairs = settle(dealt.mapInArrow(_compare_blocks(bits, parts), _PAIR), "blocks")
-    l = nodes.select(*[F.col(c).alias("l_" + c) for c in names])
-    r = nodes.select(*[F.col(c).alias("r_" + c) for c in names])
-    both = pairs.join(l, F.col("i") == F.col("l_id")).join(r, F.col("j") == F.col("r_id")).drop("i", "j")
-    # what ``contradicted`` rules out without looking at texts need not reach Python, nor most pairs that an identifier links
-    clash = lambda c: F.coalesce(F.col("l_" + c) != F.col("r_" + c), F.lit(False))
-    equal = lambda c: F.coalesce(F.col("l_" + c) == F.col("r_" + c), F.lit(False))
-    linked = equal("doi") | equal("pmid") | equal("pmcid")
-    probe = linked & (F.pmod(F.xxhash64("l_id", "r_id"), F.lit(1 << 20)) < int(min(1.0, 2.0 * CALIBRATION_PAIRS / n) * (1 << 20)))
-    open_ = ~linked & ~clash("doi") & ~clash("pmid") & ~clash("pmcid") & (F.col("l_src") != F.col("r_src"))
-    kinds = [F.coalesce("l_cat", F.lit("")), F.coalesce("r_cat", F.lit(""))]
-    strict, loose = (kinds[0].isin(*v) | kinds[1].isin(*v) for v in (("conference", "correction"), ("other", "generic")))
-    open_ = open_ & ~((kinds[0] != kinds[1]) & strict & ~(loose & equal("vol") & equal("page")))
-    both = both.filter((F.col("kind") == 2) | probe | open_)
-    scored = settle(both.mapInArrow(_score(shared), _SCORED_SCHEMA), "scored")
-    labelled = scored.filter("label is not null").orderBy(F.xxhash64("i", "j"), "i", "j").limit(CALIBRATION_PAIRS).select("label", *_CALIBRATED).collect()
-    w = calibrate([tuple(x) for x in labelled])
-    logit = sum((F.lit(float(k)) * F.col(c) for k, c in zip(w[1:], _CALIBRATED)), F.lit(float(w[0])))
-    good = scored.filter("label is null").select("i", "j", (1 / (1 + F.exp(-logit))).alias("confidence")).filter(F.col("confidence") >= accept)
-    m1, m2 = members.select(F.col("rep").alias("i"), F.col("id").alias("a")), members.select(F.col("rep").alias("j"), F.col("id").alias("b"))
-    out = good.join(m1, "i").join(m2, "j").filter("a <> b")
-    return out.groupBy(F.least("a", "b").alias("left_record_id"), F.greatest("a", "b").alias("right_record_id")).agg(F.max("confidence").alias("confidence"))
+    pairs = settle(dealt.mapInArrow(_compare_blocks(bits, parts, max(DRAWN, n // MOST_DRAWN)), _PAIR), "blocks")
+    w = _weights(pairs, keyed, n, shared)
+    # what ``contradicted`` rules out without looking at texts need not reach Python, nor pairs that an identifier links
+    both, linked, clash, ruled_out = _joined(pairs.filter("kind = 0").drop("kind"), keyed)
+    both = both.filter(~linked & ~clash & ~ruled_out & (F.col("l_src") != F.col("r_src")))
+    out = settle(both.mapInArrow(_score(shared, w, accept), "i long, j long, confidence double"), "scored")
+    more = doubled.filter("id <> rep").select(F.col("rep"), F.col("id").alias("member"))
+    for c in ("i", "j"):
+        out = out.union(out.join(more, F.col(c) == F.col("rep")).select(*[F.col("member").alias(c) if k == c else F.col(k) for k in ("i", "j")], "confidence"))
+    out = out.filter("i <> j")
+    return out.groupBy(F.least("i", "j").alias("left_record_id"), F.greatest("i", "j").alias("right_record_id")).agg(F.max("confidence").alias("confidence"))

@@ -2,6 +2,7 @@ import datetime
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from citeloom.llm import matching as M
@@ -214,3 +215,28 @@ def test_near_pairs_are_those_of_all_pairs(bits):
             new = M.first_met(c0[i] ^ c0[j], c1[i] ^ c1[j], first, bits)
             got += zip(i[new].tolist(), j[new].tolist(), kind[new].tolist())
     assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_scores_end_early_only_where_a_pair_cannot_match():
+    rng = random.Random(8)
+    some = lambda *x: rng.choice([None, *x])
+    titles = [M.title_text(x) for x in (T, T.upper(), T[:60], "Part 2 " + T, "Editorial", "Renal risk in 12 cohorts of men")]
+    feature = lambda: {"t": rng.choice(titles), "a": rng.choice(["", "smith/j jones/m", "smiht/j", "other/x jones/m", "lee/k"]), "j": rng.choice(["", "kidney", "surgery kidney", "annals"]), "year": some(2001, 2002, 2009), "vol": some("5", "6"), "page": some("1", "9"), "iss": some("1", "2")}
+    for w in (M.PRIOR, np.random.default_rng(8).standard_normal(len(M.PRIOR)) * 2):
+        bound, ended, least = M.Bound(w), 0, float(np.log(9))
+        for _ in range(3000):
+            p, q = feature(), feature()
+            whole, early = M.compare(p, q), M.compare(p, q, bound, least)
+            ended += early is None
+            assert early == whole if early is not None else w[0] + abs(w[1]) + abs(w[2]) + np.dot(w[3:], whole) < least
+        assert ended > 500
+
+
+def test_nodes_of_a_batch():
+    cols = {"t": ["a b a …", "", "c � �"], "a": ["x/j y/", "", "z"], "j": ["k l", "", None], "year": [2001, 0, None], "vol": ["5 s", None, "0"], "page": ["1", "", None]}
+    b = pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "year" else pa.string()) for k, v in cols.items()], names=list(cols))
+    words, views = M._nodes(b)
+    got = [[[words[c] for c, r in zip(*v) if r == k] for k in range(3)] for v in views]
+    assert got == [[["a", "b", "a"], [], ["c"]], [["a:x", "a:y", "j:k", "j:l", "y:2001", "v:5 s", "p:1"], [], ["a:z", "v:0"]]]
+    code, rows = M._different(len(words), views)
+    assert [words[c] for c in code[rows == 0]] == ["a", "b", "a:x", "a:y", "j:k", "j:l", "y:2001", "v:5 s", "p:1"]
