@@ -240,3 +240,17 @@ def test_nodes_of_a_batch():
     assert got == [[["a", "b", "a"], [], ["c"]], [["a:x", "a:y", "j:k", "j:l", "y:2001", "v:5 s", "p:1"], [], ["a:z", "v:0"]]]
     code, rows = M._different(len(words), views)
     assert [words[c] for c in code[rows == 0]] == ["a", "b", "a:x", "a:y", "j:k", "j:l", "y:2001", "v:5 s", "p:1"]
+
+
+def test_pairs_drawn_for_the_calibration_do_not_grow_with_the_square_of_the_records(spark, monkeypatch):
+    df = spark.createDataFrame([r for r in _works(600, 7) if r[10]], COLUMNS)
+    kept, settle = {}, M.settle
+    monkeypatch.setattr(M, "settle", lambda x, label="t": kept.setdefault(label, settle(x, label)))
+    got = []
+    monkeypatch.setattr(M, "DRAWN", 1)
+    for most in (10**9, 20):  # all records are drawn, or about 20
+        kept.clear()
+        monkeypatch.setattr(M, "MOST_DRAWN", most)
+        M.matches(df).count()
+        got.append(kept["blocks"].filter("kind = 2").count())
+    assert got[0] > 500 and got[1] < got[0] / 4, got
