@@ -1013,11 +1013,16 @@ def calibrate(rows: list[tuple], rounds: int = 30) -> np.ndarray:
     y = np.array([r[0] for r in rows], float)
     x = np.array([(1.0, *r[1:]) for r in rows])
     w = PRIOR.copy()
+    # what is minimized; whole steps can run away where one label is rare
+    loss = lambda w: (np.logaddexp(0, x @ w) - y * (x @ w)).sum() + ((w - PRIOR) ** 2).sum() / 2
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (y - p) - (w - PRIOR)
         h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.eye(len(w))
-        w = w + np.linalg.solve(h, g)
+        step, now = np.linalg.solve(h, g), loss(w)
+        while np.abs(step).max() > 1e-12 and loss(w + step) > now + 1e-9:
+            step = step / 2
+        w = w + step
     return w
 
 

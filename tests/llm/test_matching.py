@@ -254,3 +254,13 @@ def test_pairs_drawn_for_the_calibration_do_not_grow_with_the_square_of_the_reco
         M.matches(df).count()
         got.append(kept["blocks"].filter("kind = 2").count())
     assert got[0] > 500 and got[1] < got[0] / 4, got
+
+
+def test_calibration_holds_with_few_matches_among_the_labels():
+    rng = np.random.default_rng(5)
+    rows = [(1, *np.r_[rng.uniform(0.5, 1, 2), 1, 0, rng.uniform(-1, 1, 6), np.zeros(6)]) for _ in range(15)]
+    rows += [(0, *np.r_[rng.uniform(-0.2, 0.6, 2), 0, 1, rng.uniform(-1, 1, 2), -1, -1, rng.uniform(-1, 1, 2), np.zeros(6)]) for _ in range(20000)]
+    w, x = M.calibrate(rows), np.array([(1.0, *r[1:]) for r in rows])
+    p = 1 / (1 + np.exp(-x @ w))
+    assert np.abs(w).max() < 20 and p[:15].mean() > 0.5 and p[15:].max() < 0.5
+    assert np.abs(x.T @ (np.array([r[0] for r in rows]) - p) - (w - M.PRIOR)).max() < 1e-3
